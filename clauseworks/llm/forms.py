@@ -3,8 +3,8 @@
 The script step resolves every letter to the set of scripts in which a letter
 of that look exists, intersects these sets over a token and spells the token in
 the one script that remains.  A token that could be spelled wholly in several
-scripts takes the script of the surrounding text, which is told by letters that
-exist in one script only and so is the same before and after any substitution.
+scripts takes that of its neighbours with one script, which are the same before
+and after any substitution.
 """
 
 from __future__ import annotations
@@ -80,32 +80,44 @@ _CONTROL = re.compile("[\0-\x08\x0e-\x1f\x7f]")
 _OTHER_SCRIPT = re.compile("[Ͱ-֏ᲀ-᲏ἀ-῿Ꙁ-ꚟ]")
 _TOKEN = re.compile("(?:[^\\W\\d_][̀-ͯ]*)+")
 _WORD = re.compile(r"[^\W_]+")
-_ONLY = {s: re.compile(f"[{lo}-{hi}]") for s, lo, hi in (("Latin", "A", "z"), ("Greek", "Ͱ", "Ͽ"), ("Cyrillic", "Ѐ", "ԯ"), ("Armenian", "԰", "֏"))}
-_MEMO: dict[tuple[str, str], str] = {}
+_MEMO: dict[str, dict[str, str]] = {}
 _MEMO_MOST = 200_000
 
 
-def _spelled(token: str, main: str) -> str:
-    if (to := _MEMO.get((token, main))) is None:
+def _spellings(token: str) -> dict[str, str]:
+    """Spelling of a token in each script that has letters of all these looks; none if no script has."""
+    if (to := _MEMO.get(token)) is None:
         letters = unicodedata.normalize("NFD", token)
         choices = [_ALIKE.get(c) or {_script(c): c} for c in letters if not unicodedata.combining(c)]
-        scripts = set.intersection(*map(set, choices))
-        to = token
-        if scripts and "other" not in scripts:
-            script = main if main in scripts else "Latin" if "Latin" in scripts else min(scripts)
-            to = unicodedata.normalize("NFC", "".join(_ALIKE.get(c, {}).get(script, c) for c in letters))
+        scripts = set.intersection(*map(set, choices)) - {"other"}
+        to = {s: unicodedata.normalize("NFC", "".join(_ALIKE.get(c, {}).get(s, c) for c in letters)) for s in sorted(scripts)}
         if len(_MEMO) >= _MEMO_MOST:
             _MEMO.clear()
-        _MEMO[token, main] = to
+        _MEMO[token] = to
     return to
 
 
 def _one_script(text: str) -> str:
-    count = {s: sum(c not in _ALIKE and c.isalpha() for c in p.findall(text)) for s, p in _ONLY.items()}
-    main = max(count, key=lambda s: count[s])  # Latin on ties
-    if main == "Latin":  # Latin tokens stay
-        return _TOKEN.sub(lambda m: _spelled(m[0], main) if _OTHER_SCRIPT.search(m[0]) else m[0], text)
-    return _TOKEN.sub(lambda m: _spelled(m[0], main), text)
+    """Every token in its one script; of several, in that of the nearest tokens with one if these agree, else in Latin."""
+    tokens = list(_TOKEN.finditer(text))
+    choices = [_spellings(m[0]) for m in tokens]
+    after: list[str] = []
+    seen = ""
+    for c in reversed(choices):
+        after.append(seen)
+        seen = next(iter(c)) if len(c) == 1 else seen
+    parts, at, before = [], 0, ""
+    for m, c, behind in zip(tokens, choices, reversed(after), strict=True):
+        if len(c) > 1:
+            script = before if before in c and before == (behind or before) else behind if not before and behind in c else "Latin" if "Latin" in c else next(iter(c))
+            to = c[script]
+        else:
+            to = next(iter(c.values()), m[0])
+            before = next(iter(c), before)
+        if to != m[0]:
+            parts += [text[at : m.start()], to]
+            at = m.end()
+    return "".join([*parts, text[at:]])
 
 
 def consistent_form(text: str | None) -> str | None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forms, leaks
+from . import forms, leaks, packing, residue, splitting, tokens
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -33,6 +33,46 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return rows.dropDuplicates(["kind", "key"])
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_pieces(spark, d).where("piece = 1").select("chunk_id")
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(*(_read(spark, d, t) for t in ("chunks", "documents", "chunk_config")))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(_read(spark, d, "documents"))
+
+
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id and whether the text decoded from its ids is the text."""
+    documents = _read(spark, d, "documents")
+    decoded = tokens.decode(tokens.encode(documents)).withColumnRenamed("text", "decoded")
+    return documents.select("doc_id", "text").join(decoded, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(_read(spark, d, "documents"), _read(spark, d, "chunk_config"))
+
+
+def p8_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, parts, tokens, tokens that would have fitted besides, and containers not full."""
+    boxes = p8_containers(spark, d).where("container_id is not null").groupBy("container_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("parts"))
+    free = F.lit(2048) - F.col("tokens")
+    return boxes.agg(F.count("*").alias("containers"), F.sum("parts").alias("parts"), F.sum("tokens").alias("tokens"), F.sum(free).alias("unused"), F.count_if(free > 0).alias("not_full"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(_read(spark, d, "documents"))
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id of the corpus without residue."""
+    documents = _read(spark, d, "documents")
+    return documents.where("doc_id is not null").select("doc_id").distinct().join(residue.residue_documents(documents), "doc_id", "left_anti")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1:2].isdigit()}
 
