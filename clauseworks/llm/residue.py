@@ -33,7 +33,9 @@ MOST_POSITIVE, LEAST_NEGATIVE = 0.003, 0.5
 SMOOTH = 300.0
 #: Log odds from which a passage or a mark counts, and the mean of a passage's terms from which it does: ordinary
 #: wording that happens to share some words with a message mixes terms of either sign.
-PASSAGE_ODDS, MARK_ODDS, TERM_ODDS = 1.0, -2.0, 1.8
+PASSAGE_ODDS, MARK_ODDS, TERM_ODDS = 1.0, -2.0, 2.0
+#: Log odds from which a trusted passage counts as one with PASSAGE_ODDS.
+TRUSTED_ODDS = -8.0
 
 _BREAK = "␞"
 _LINES = re.compile("\r\n?|[\n\x0b\x0c\x85  ]")
@@ -91,6 +93,10 @@ def _trusted_mark(m: re.Match) -> bool:
     return bool(m["date"]) or bool(inner) and (m["open"] in _TRUSTED_OPEN or bool(_ASKS.search(inner)) or m["bullet"] in ("•", "●")) or not inner and m["bullet"] in ("•", "●")
 
 
+def trusted(passage: str) -> bool:
+    return bool(_TRUSTED.search(passage)) and not _SPOKEN_OF.search(passage)
+
+
 def fit(rows: list[tuple[bool, list[str]]]) -> dict[str, float]:
     """Log odds of each term, and of the class at "", from (trusted, terms) rows.
 
@@ -120,26 +126,26 @@ def _sampled(texts: DataFrame, documents: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds, trusted, terms = [], [], []
+            kinds, sure, terms = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 cut, marks = passages(text)
                 for k, p in enumerate(cut):
-                    if (t := bool(_TRUSTED.search(p)) and not _SPOKEN_OF.search(p)) or (doc + k) % UNLABELLED == 0:
-                        kinds.append(0), trusted.append(t), terms.append("\n".join(passage_terms(p)))
+                    if (t := trusted(p)) or (doc + k) % UNLABELLED == 0:
+                        kinds.append(0), sure.append(t), terms.append("\n".join(passage_terms(p)))
                 for m in marks:
-                    kinds.append(1), trusted.append(_trusted_mark(m)), terms.append("\n".join(mark_terms(m)))
+                    kinds.append(1), sure.append(_trusted_mark(m)), terms.append("\n".join(mark_terms(m)))
                 # a run of one word is trusted whatever the word
                 for k, p in enumerate(cut):
                     if _REPEATED.fullmatch(p) and len(p.split(" ")) > 4:
-                        kinds.append(0), trusted.append(True), terms.append("\n".join(passage_terms(p)))
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(trusted, pa.bool_()), pa.array(terms, pa.string())], names=["kind", "trusted", "terms"])
+                        kinds.append(0), sure.append(True), terms.append("\n".join(passage_terms(p)))
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(sure, pa.bool_()), pa.array(terms, pa.string())], names=["kind", "trusted", "terms"])
 
     return texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < limit).mapInArrow(run, "kind int, trusted boolean, terms string")
 
 
 def residue_scores(documents: DataFrame) -> DataFrame:
     """doc_id, passage_odds and mark_odds (the highest of each, null without any;
-    a passage below TERM_ODDS or one that speaks of such things counts up to PASSAGE_ODDS only) of every document with text.
+    passages below TERM_ODDS a term and such as speak of these things are left out) of every document with text.
 
     Null, empty and blank texts have no row; doc_id null neither; a doc_id that
     occurs again has one row for each.  The models are fitted on a sample of
@@ -163,8 +169,13 @@ def residue_scores(documents: DataFrame) -> DataFrame:
                 for p in cut:
                     terms = passage_terms(p)
                     own = sum([get(t, 0.0) for t in terms])
-                    if prior + own > top and (prior + own < PASSAGE_ODDS or own >= TERM_ODDS * len(terms) and not _SPOKEN_OF.search(p)):
-                        top = prior + own
+                    odds = prior + own
+                    if odds < PASSAGE_ODDS:
+                        if odds > TRUSTED_ODDS and trusted(p):
+                            odds = PASSAGE_ODDS
+                    elif (own < TERM_ODDS * len(terms) and not trusted(p)) or _SPOKEN_OF.search(p):
+                        continue
+                    top = max(top, odds)
                 ids.append(doc)
                 best.append(top)
                 best_mark.append(max((mark_model[""] + sum(mark_model.get(t, 0.0) for t in mark_terms(m)) for m in marks), default=None))
