@@ -33,7 +33,7 @@ MOST_POSITIVE, LEAST_NEGATIVE = 0.003, 0.5
 SMOOTH = 300.0
 #: Log odds from which a passage or a mark counts, and the mean of a passage's terms from which it does: ordinary
 #: wording that happens to share some words with a message mixes terms of either sign.
-PASSAGE_ODDS, MARK_ODDS, TERM_ODDS = 1.0, -2.0, 2.0
+PASSAGE_ODDS, MARK_ODDS, TERM_ODDS = 1.0, -2.0, 3.0
 #: Log odds from which a trusted passage counts as one with PASSAGE_ODDS.
 TRUSTED_ODDS = -8.0
 
