@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forms, leaks, packing, residue, splitting, tokens
+from . import forms, leaks, neardup, packing, residue, splitting, tokens
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return rows.dropDuplicates(["kind", "key"])
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(_read(spark, d, "chunks"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_groups(_read(spark, d, "chunks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).where("piece = 1").select("chunk_id")
 
