@@ -47,12 +47,12 @@ class _WordHashes(dict):
         return h
 
 
-_HASHES = _WordHashes()
+HASHES = _WordHashes()
 
 
 def word_hashes(text: str) -> np.ndarray:
     words = _WORD.findall(consistent_form(text).lower())
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_hashes(words: np.ndarray, n: int = WORDS) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forms, leaks, neardup, packing, residue, splitting, tokens
+from . import forms, leaks, neardup, overlap, packing, residue, splitting, tokens
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -49,6 +49,18 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(*(_read(spark, d, t) for t in ("chunks", "documents", "chunk_config")))
 
 
+_P5 = ("documents", "chunks", "docs", "spans")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = overlap.overlaps(*(_read(spark, d, t) for t in _P5))
+    return found.select(F.least("evaluation", "training").alias("doc_a"), F.greatest("evaluation", "training").alias("doc_b"))
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_counts(*(_read(spark, d, t) for t in _P5))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(_read(spark, d, "documents"))
 
