@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forms, leaks, neardup, overlap, packing, residue, splitting, tokens
+from . import forms, leaks, neardup, neighbours, overlap, packing, residue, splitting, tokens
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -61,6 +61,15 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_counts(*(_read(spark, d, t) for t in _P5))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.near_pairs(_read(spark, d, "vectors"))
+
+
+def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar vectors of every vector whose id is divisible by 50, against all."""
+    return neighbours.nearest(_read(spark, d, "vectors"), every=50)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(_read(spark, d, "documents"))
 
