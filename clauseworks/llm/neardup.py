@@ -11,14 +11,17 @@ are shared.  So if all texts order their positions alike, the first
 n - ceil(t * n) + m of each contain at least m shared ones.  The index holds only
 these, rare positions first; pairs are tallied over them, those that reach the
 guaranteed minimum m are verified on their whole sets.  The order comes from a
-sketch of fixed size that counts the positions of all texts.
+sketch of fixed size that counts the positions of all texts.  A signature of 32
+bytes travels with a text's entries: every trigram flips one bit, so two texts
+differ in at least as many trigrams as their signatures in bits, and pairs that
+differ in too many never leave the task that met them.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .forms import consistent_form
+from .evaluation import sized
+from .forms import form_words
 
 THRESHOLD, WORDS = 0.6, 3
 #: Counters of the sketch and the slices in which it is added up.
-COUNTERS, SLICES = 1 << 18, 8
-_WORD = re.compile(r"[^\W_]+")
+COUNTERS, SLICES = 1 << 21, 8
+#: Bits of a text's signature.
+SIGNATURE = 256
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-#: Positions have 48 bits, the byte follows.
-_KEY_BITS = np.uint64(56)
+#: Bits of a trigram's hash: a position of 44 and the byte there.
+BITS = 52
+#: Texts taken at a time, entries of a bucket of the index, and entries of one key that are paired as one block.
+BATCH, BUCKET, HOT = 4096, 1_200_000, 1500
 
 
 class _WordHashes(dict):
@@ -51,7 +58,7 @@ HASHES = _WordHashes()
 
 
 def word_hashes(text: str) -> np.ndarray:
-    words = _WORD.findall(consistent_form(text).lower())
+    words = form_words(text)
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
@@ -64,7 +71,22 @@ def shingle_hashes(words: np.ndarray, n: int = WORDS) -> np.ndarray:
     for i in range(n):
         h = (h ^ words[i : i + k]) * _MULTIPLIERS[i % 8]
         h ^= h >> np.uint64(29)
-    return h >> (np.uint64(64) - _KEY_BITS)
+    return h >> np.uint64(64 - BITS)
+
+
+def shingle_sets(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of at most BATCH texts one after the other, ascending, and the ends of each text's part (from 0)."""
+    lists = [form_words(t) for t in texts]
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = np.fromiter(map(HASHES.__getitem__, chain.from_iterable(lists)), np.uint64, int(lengths.sum()))
+    if len(flat) < n:
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    text = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)
+    keys = shingle_hashes(flat, n) | text[: len(flat) - n + 1] << np.uint64(BITS)
+    keys = np.sort(keys[text[: len(flat) - n + 1] == text[n - 1 :]])
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    ends = np.searchsorted(keys >> np.uint64(BITS), np.arange(len(texts) + 1, dtype=np.uint64))
+    return keys & np.uint64((1 << BITS) - 1), ends
 
 
 def set_hash(hashes: np.ndarray, text: str) -> int:
@@ -89,22 +111,25 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     """Rows of two kinds: id, class and size of each text; slices of the task's sketch (class: slice, counts in counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(COUNTERS, np.int64)
+        sketch = np.zeros(COUNTERS, np.uint32)
         names = ["id", "class", "size", "counts"]
-        for b in batches:
-            classes, sizes = [], []
-            for text in b.column(1).to_pylist():
-                hashes = np.unique(shingle_hashes(word_hashes(text), n))
-                np.add.at(sketch, (hashes % np.uint64(COUNTERS)).astype(np.int64), 1)
-                classes.append(set_hash(hashes, text))
-                sizes.append(len(hashes))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(len(b), pa.binary())], names=names)
-        parts = np.minimum(sketch, (1 << 32) - 1).astype("<u4").reshape(SLICES, -1)
+        for b in _cut(batches):
+            texts = b.column(1).to_pylist()
+            hashes, ends = shingle_sets(texts, n)
+            np.add.at(sketch, (hashes % np.uint64(COUNTERS)).astype(np.int64), np.uint32(1))
+            classes = [set_hash(hashes[x:y], t) for x, y, t in zip(ends[:-1], ends[1:], texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes, pa.int64()), pa.array(np.diff(ends).astype(np.int32)), pa.nulls(len(b), pa.binary())], names=names)
+        # the order only has to be the same for all texts, so counts of a task may end at 255
+        parts = np.minimum(sketch, 255).astype(np.uint8).reshape(SLICES, -1)
         yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
     return texts.mapInArrow(run, "id bigint, class bigint, size int, counts binary")
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(k, BATCH) for b in batches for k in range(0, len(b), BATCH))
+
+
 def _sketch(rows: DataFrame) -> np.ndarray:
     """The sum of all tasks' sketches: COUNTERS numbers, whatever the data."""
 
@@ -112,78 +137,215 @@ def _sketch(rows: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(counts, "<u4").astype(np.uint64)
+                own = np.frombuffer(counts, np.uint8).astype(np.uint32)
                 total[k] = total[k] + own if k in total else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.astype("<u8").tobytes() for x in total.values()], pa.binary())], names=["class", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([np.minimum(x, 65535).astype("<u2").tobytes() for x in total.values()], pa.binary())], names=["class", "counts"])
 
     slices = rows.where("counts is not null").select("class", "counts").repartition(SLICES, "class").mapInArrow(add, "class bigint, counts binary").collect()
-    out = np.zeros((SLICES, COUNTERS // SLICES), np.uint64)
+    out = np.zeros((SLICES, COUNTERS // SLICES), np.uint16)
     for r in slices:
-        out[r["class"]] += np.frombuffer(r.counts, "<u8")
+        out[r["class"]] = np.frombuffer(r.counts, "<u2")
     return out.ravel()
 
 
-def _entries(texts: DataFrame, sketch: np.ndarray, threshold: float, n: int) -> DataFrame:
-    """Entries of the index: key (position and byte), class, and place in the text's order with its size (place * 2^32 + size).
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by byte: first all lowest bytes and so on, of which the upper ones then take next to nothing."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def signatures(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A row of SIGNATURE bits, as four numbers, of each text's part."""
+    texts = len(ends) - 1
+    bits = np.repeat(np.arange(texts, dtype=np.int64), np.diff(ends)) * SIGNATURE + (hashes >> np.uint64(8)).astype(np.int64) % SIGNATURE
+    return np.packbits((np.bincount(bits, minlength=texts * SIGNATURE) & 1).astype(np.uint8).reshape(texts, SIGNATURE), axis=1).view(np.uint64)
+
+
+def _pack(keys: np.ndarray, places: np.ndarray, rows: np.ndarray, classes: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> bytes:
+    """Entries (key, place, row of the text) and their texts (class, size, signature)."""
+    used, rows = np.unique(rows, return_inverse=True)
+    head = np.array([len(keys), len(used)], "<u4").tobytes()
+    return b"".join([head, (keys >> np.uint64(8)).astype("<u4").tobytes(), (keys & np.uint64(255)).astype(np.uint8).tobytes(), _planes(places), _planes(rows), classes[used].tobytes(), _planes(sizes[used]), signs[used].tobytes()])
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    n, m = (int(x) for x in np.frombuffer(blob, "<u4", 2))
+    plain = lambda at, k: np.frombuffer(blob, np.uint8, 4 * k, at).reshape(4, k).T.copy().view("<u4").ravel().astype(np.int64)
+    keys = np.frombuffer(blob, "<u4", n, 8).astype(np.uint64) << np.uint64(8) | np.frombuffer(blob, np.uint8, n, 8 + 4 * n).astype(np.uint64)
+    at = 8 + 13 * n
+    return keys, plain(8 + 5 * n, n), plain(8 + 9 * n, n), np.frombuffer(blob, np.int64, m, at), plain(at + 8 * m, m), np.frombuffer(blob, np.uint64, 4 * m, at + 12 * m).reshape(m, 4)
+
+
+def _joined(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    parts = [_unpack(b) for b in blobs]
+    first = np.cumsum([0, *(len(p[3]) for p in parts)])
+    keys, places, rows, classes, sizes, signs = zip(*parts, strict=True)
+    return tuple(map(np.concatenate, (keys, places, [r + f for r, f in zip(rows, first[:-1], strict=True)], classes, sizes, signs)))
+
+
+def _entries(texts: DataFrame, sketch: np.ndarray, threshold: float, n: int, buckets: int) -> DataFrame:
+    """bucket and entries of the index, packed: key (position and byte, 40 bits of both), place in the text's order, and the text.
 
     A task writes a class once, however many copies it reads.
     """
-    counts = texts.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 32) - 1).astype(np.uint32))
+    counts = texts.sparkSession.sparkContext.broadcast(sketch)
+
+    def flush(parts: list[tuple[np.ndarray, ...]], held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        keys, places, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
+        texts = [np.concatenate(x) for x in zip(*held, strict=True)]
+        bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        found, at = np.unique(bucket[order], return_index=True)
+        pieces = [np.split(c[order], at[1:]) for c in (keys, places, rows)]
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array([_pack(*x, *texts) for x in zip(*pieces, strict=True)], pa.binary())], names=["bucket", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        for b in batches:
-            keys, classes, places = [], [], []
-            for text in b.column(1).to_pylist():
-                hashes = np.unique(shingle_hashes(word_hashes(text), n))
-                own = set_hash(hashes, text)
-                if own in known or not len(hashes):
-                    continue
-                known.add(own)
-                k = prefix(len(hashes), threshold)
-                often = counts.value[(hashes % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
-                # rare first, ties in a mixed order that is alike for all texts
-                order = np.lexsort((hashes * _MULTIPLIERS[0], often))[:k]
-                keys.append(hashes[order])
-                classes.append(np.full(k, own, np.int64))
-                places.append((np.arange(k, dtype=np.int64) << 32) + len(hashes))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(places))], names=["key", "class", "place"])
-
-    return texts.select("id", "text").mapInArrow(run, "key bigint, class bigint, place bigint")
+        parts: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        first = 0
+        for b in _cut(batches):
+            texts = b.column(1).to_pylist()
+            hashes, ends = shingle_sets(texts, n)
+            sizes = np.diff(ends)
+            classes = np.array([set_hash(hashes[x:y], t) for x, y, t in zip(ends[:-1], ends[1:], texts, strict=True)], np.int64)
+            take = np.array([prefix(int(k), threshold) for k in sizes], np.int64)
+            for k, c in enumerate(classes.tolist()):
+                if c in known:
+                    take[k] = 0
+                known.add(c)
+            text = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
+            often = counts.value[(hashes % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
+            # rare first within a text, ties in a mixed order that is alike for all texts
+            order = np.argsort(text << np.uint64(52) | often << np.uint64(32) | hashes * _MULTIPLIERS[0] >> np.uint64(32))
+            places = np.arange(len(hashes)) - np.repeat(ends[:-1], sizes)
+            keep = places < np.repeat(take, sizes)
+            parts.append((hashes[order][keep] >> np.uint64(BITS - 40), places[keep], text[keep].astype(np.int64) + first))
+            held.append((classes, sizes, signatures(hashes, ends)))
+            first += len(texts)
+            if first > 8 * BATCH:
+                yield flush(parts, held)
+                parts, held, first = [], [], 0
+        if held:
+            yield flush(parts, held)
+
+    return texts.select("id", "text").mapInArrow(run, "bucket bigint, entries binary")
+
+
+def _pairs(threshold: float, entries: tuple[np.ndarray, ...], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Entries of one key each, left and right, of different classes, that by place, size and signature can reach the threshold, as rows (class, class, asked)."""
+    _, places, rows, classes, sizes, signs = entries
+    a, b = sizes[rows[left]], sizes[rows[right]]
+    needed = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
+    within = np.minimum(places[left], places[right]) + np.minimum(a - places[left], b - places[right])
+    small = np.minimum(a, b)
+    asked = 1 + (small >= 12) + (small >= 60)
+    # of two similar texts, the first m shared bytes stand among the first a - needed + m and b - needed + m
+    early = (places[left] < a - needed + asked) & (places[right] < b - needed + asked)
+    keep = np.flatnonzero(early & (within >= needed) & (small >= needed))
+    x, y = rows[left[keep]], rows[right[keep]]
+    differ = np.bitwise_count(signs[x] ^ signs[y]).sum(axis=1, dtype=np.int64)
+    near = (differ <= (a + b - 2 * needed)[keep]) & (classes[x] != classes[y])
+    x, y = classes[x[near]], classes[y[near]]
+    return np.stack([np.minimum(x, y), np.maximum(x, y), asked[keep][near]], axis=1)
+
+
+def _tallied(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    rows = np.concatenate(pairs) if pairs else np.empty((0, 3), np.int64)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    new = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])) if len(rows) else np.empty(0, np.int64)
+    shared = np.diff(np.concatenate([new, [len(rows)]])) if len(rows) else new
+    rows = rows[new]
+    blank = pa.nulls(len(rows), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(shared.astype(np.int32)), pa.array(rows[:, 2].astype(np.int32)), blank, blank], names=_TALLY)
+
+
+_TALLY = ["class_a", "class_b", "shared", "asked", "left", "right"]
+_TALLY_TYPE = "class_a bigint, class_b bigint, shared int, asked int, left binary, right binary"
+#: Pairs of entries taken at a time.
+_AT_ONCE = 2_000_000
+
+
+def _paired(table: pa.Table, threshold: float) -> pa.Table:
+    """Tally of a bucket; of keys with more than HOT entries, blocks of their entries to be paired elsewhere (left, right)."""
+    keys, places, rows, *texts = _joined(table.column("entries").to_pylist())
+    order = np.argsort(keys, kind="stable")
+    keys, places, rows = keys[order], places[order], rows[order]
+    entries = keys, places, rows, *texts
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    ends = np.concatenate([starts[1:], [len(keys)]])
+    several = ends - starts > 1
+    hot = ends - starts > HOT
+    out: list[pa.RecordBatch] = []
+    tally: list[np.ndarray] = []
+    held = 0
+    # the k-th follower of every entry of the same key, for every k
+    last = np.repeat(ends, ends - starts)
+    usual = np.repeat(several & ~hot, ends - starts)
+    at = np.flatnonzero(usual)
+    step = 1
+    while len(at := at[at + step < last[at]]):
+        tally.append(_pairs(threshold, entries, at, at + step))
+        held += len(tally[-1])
+        if held > _AT_ONCE:
+            out.append(_tallied(tally))
+            tally, held = [], 0
+        step += 1
+    out.append(_tallied(tally))
+    for s, e in zip(starts[hot], ends[hot], strict=True):
+        blocks = [_pack(*(c[k : min(k + HOT, e)] for c in (keys, places, rows)), *texts) for k in range(s, e, HOT)]
+        ij = [(i, j) for i in range(len(blocks)) for j in range(i, len(blocks))]
+        none = pa.nulls(len(ij), pa.int64())
+        few = pa.nulls(len(ij), pa.int32())
+        out.append(pa.RecordBatch.from_arrays([none, none, few, few, pa.array([blocks[i] for i, _ in ij], pa.binary()), pa.array([blocks[j] if j > i else b"" for i, j in ij], pa.binary())], names=_TALLY))
+    return pa.Table.from_batches(out)
+
+
+def _paired_blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            entries = _joined([x, y] if y else [x])
+            n = len(_unpack(x)[0])
+            i, j = np.meshgrid(np.arange(n), np.arange(n, len(entries[0])), indexing="ij") if y else np.triu_indices(n, 1)
+            yield _tallied([_pairs(threshold, entries, np.ravel(i), np.ravel(j))])
 
 
 def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
     """Pairs of classes a < b that share the guaranteed minimum, by size and place able to reach the threshold."""
-    a, b = (entries.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "place"))) for x in "ab")
-    both = a.join(b, "key").where("class_a < class_b")
-    size = {x: F.col(f"place_{x}").bitwiseAND(0xFFFFFFFF) for x in "ab"}
-    place = {x: F.shiftright(f"place_{x}", 32) for x in "ab"}
-    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (size["a"] + size["b"]) - F.lit(1e-9))
-    within = F.least(place["a"], place["b"]) + 1 + F.least(size["a"] - place["a"], size["b"] - place["b"]) - 1
-    both = both.where((within >= needed) & (F.least(size["a"], size["b"]) >= needed))
-    asked = F.when(F.least(size["a"], size["b"]) < 12, 1).when(F.least(size["a"], size["b"]) < 60, 2).otherwise(3)
-    tally = both.groupBy("class_a", "class_b").agg(F.count("*").alias("shared"), F.first(asked).alias("asked"))
+    # written, since both branches below would else pair at the same time
+    first = checkpointed(entries.groupBy("bucket").applyInArrow(lambda t: _paired(t, threshold), _TALLY_TYPE))
+    blocks = first.where("left is not null").repartition(F.xxhash64("left", "right"))
+    more = blocks.mapInArrow(lambda x: _paired_blocks(x, threshold), _TALLY_TYPE)
+    rows = first.where("left is null").unionByName(more).select("class_a", "class_b", "shared", "asked")
+    tally = rows.groupBy("class_a", "class_b").agg(F.sum("shared").alias("shared"), F.first("asked").alias("asked"))
     return tally.where("shared >= asked").select("class_a", "class_b")
 
 
+def _forty(packed: bytes) -> np.ndarray:
+    """Numbers of 40 bits."""
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _verified(candidates: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
     """class_a, class_b and similarity of the candidates that reach the threshold; reads one text of each class concerned."""
     concerned = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
     ids = classes.join(concerned, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(word_hashes(t), n)).tobytes() for t in b.column(1).to_pylist()]
+        for b in _cut(batches):
+            hashes, ends = shingle_sets(b.column(1).to_pylist(), n)
+            five = np.ascontiguousarray((hashes >> np.uint64(BITS - 40)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+            sets = [five[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["class", "set"])
 
-    sets = texts.join(ids, "id").groupBy("class").agg(F.first("text").alias("text")).mapInArrow(hashed, "class bigint, set binary")
+    sets = texts.join(sized(ids), "id").select("class", "text").mapInArrow(hashed, "class bigint, set binary").groupBy("class").agg(F.first("set").alias("set"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = _forty(x), _forty(y)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(shared / (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.float64())], names=["class_a", "class_b", "similarity"])
@@ -203,7 +365,9 @@ def similar_classes(df: DataFrame, key: str = "id", text: str = "text", threshol
     rows = _sets(texts, n).persist(StorageLevel.DISK_ONLY)
     sketch = _sketch(rows)
     classes = rows.where("id is not null").groupBy("id").agg(F.min("class").alias("class"))
-    candidates = checkpointed(_candidates(_entries(texts, sketch, threshold, n), threshold))
+    sizes = rows.where("size > 0").groupBy("size").count().collect()
+    buckets = max(1, sum(prefix(r["size"], threshold) * r["count"] for r in sizes) // BUCKET)
+    candidates = checkpointed(_candidates(_entries(texts, sketch, threshold, n, buckets), threshold))
     return classes, _verified(candidates, classes, texts, threshold, n)
 
 
