@@ -135,9 +135,15 @@ def consistent_form(text: str | None) -> str | None:
     return " ".join(text.split())
 
 
+_ASCII_WORDS = bytes(n if chr(n).isalnum() and n < 128 else 32 for n in range(256))
+
+
 def form_words(text: str | None) -> list[str]:
     """Words of a text: runs of letters and digits of its lower-cased consistent form."""
-    return _WORD.findall(consistent_form(text).lower()) if text else []
+    if not text:
+        return []
+    form = consistent_form(text).lower()
+    return form.encode().translate(_ASCII_WORDS).decode().split() if form.isascii() else _WORD.findall(form)
 
 
 _BETWEEN = re.compile(r"[^\W_](?:[^\w\s!-~]*[^\W_])*")
