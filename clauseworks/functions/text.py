@@ -19,8 +19,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 #: Unicode's White_Space, and those of it that break lines.
-BREAKS = "\n\x0b\x0c\r\x85  "
-SPACES = "\t \xa0  -   　"
+BREAKS = "\n\x0b\x0c\r\x85\u2028\u2029"
+SPACES = "\t \xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
 _RUN = re.compile(f"[{BREAKS}{SPACES}]+")
 _BREAK = re.compile(f"\r\n|[{BREAKS}]")
 #: A line that begins a clause: "12.", "12.3", "4)", "(a)", "iv.", "Section 3", "v." before capitals.
@@ -135,7 +135,7 @@ def _clusters(text: str) -> list[tuple[str, int, int]]:
     at = 0
     while at < len(text):
         to = at + 1
-        while to < len(text) and (unicodedata.combining(text[to]) or not unicodedata.is_normalized("NFC", text[at : to + 1]) and unicodedata.is_normalized("NFC", text[to])):
+        while to < len(text) and (unicodedata.combining(text[to]) or "\u1161" <= text[to] <= "\u11c2"):
             to += 1
         out += [(c, at, to) for c in unicodedata.normalize("NFC", text[at:to])]
         at = to

@@ -8,12 +8,14 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import BREAKS, CLAUSE_LINE, SPACES
 
 _CLAUSE = regex.compile(CLAUSE_LINE)
+#: What a clause line begins with, at least.
+_LIKELY = re.compile(r"[0-9(]|[A-Za-z]{1,5}\.\s|(?:section|article)\s", re.IGNORECASE)
 _WORD = re.compile(f"[^{BREAKS}{SPACES}]+")
 #: Places of the tokens of a text.
 Tokenizer = Callable[[str], list[tuple[int, int]]]
@@ -42,7 +44,7 @@ def split_units(text: str) -> list[tuple[int, int]]:
     end = at = 0
     for line in text.split("\n"):
         blank = not line.strip(BREAKS + SPACES)
-        if start is not None and (blank or _CLAUSE.match(line)):
+        if start is not None and (blank or _LIKELY.match(line) and _CLAUSE.match(line)):
             units.append((start, end))
             start = None
         if not blank:
@@ -95,24 +97,20 @@ def chunk_documents(documents: DataFrame, config: ChunkConfig = ChunkConfig(), t
     return documents.where("text is not null").select(F.col(key).cast("bigint").alias(key), "text").mapInArrow(run, f"{key} bigint, ord int, text string, char_start int, char_end int")
 
 
-def units(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, unit (from 0), text of the clause units of normalised texts, as one pass of built-in functions over each text's lines.
+#: The same for normalised text as a whole, where white space is a space or a line break.
+_CLAUSE_IN_TEXT = "(?m)" + CLAUSE_LINE.replace(r"[^\p{Ll}\s]", r"[^\p{Ll} \n]").replace(r"[^\s\p{L}]", r"[^ \n\p{L}]").replace(r"\s", " ")
+_MARK = "\x1e"
 
-    Lines gather in an array of units: a blank line or a clause line begins a new
-    one.  No row leaves its text, so nothing is shuffled.
-    """
-    lines = F.split("text", "\n")
-    blank = lambda x: x.rlike(f"^[{BREAKS}{SPACES}]*$")
 
-    def add(done: Column, line: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        new = F.coalesce(last == "", F.lit(True)) | line.rlike(CLAUSE_LINE)
-        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.lit("\n"), line)))
-        return F.when(blank(line), F.when(F.coalesce(last == "", F.lit(True)), done).otherwise(F.concat(done, F.array(F.lit(""))))).when(new, F.concat(done, F.array(line))).otherwise(joined)
+def units(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, unit (from 0), text of the clause units of normalised texts.
 
-    gathered = F.filter(F.aggregate(lines, F.array().cast("array<string>"), add), lambda u: u != "")
-    trimmed = F.transform(gathered, lambda u: F.regexp_replace(u, f"[{BREAKS}{SPACES}]+$", ""))
-    return documents.where("text is not null").select(key, F.posexplode(trimmed).alias("unit", "text"))
+    A mark is put before every clause line and texts are split at marks and blank
+    lines, so no line becomes a row and nothing is shuffled.
+    """
+    marked = F.regexp_replace(F.replace("text", F.lit(_MARK), F.lit(" ")), _CLAUSE_IN_TEXT, _MARK + "$0")
+    parts = F.transform(F.split(marked, f"\n\n|{_MARK}"), lambda u: F.regexp_replace(u, f"[{BREAKS}{SPACES}]+$", ""))
+    return documents.where("text is not null").select(key, F.posexplode(F.filter(parts, lambda u: u != "")).alias("unit", "text"))
 
 
 def word_windows(documents: DataFrame, limits: DataFrame | None = None, size: int = 200, overlap: int = 40, key: str = "doc_id") -> DataFrame:
@@ -126,6 +124,6 @@ def word_windows(documents: DataFrame, limits: DataFrame | None = None, size: in
     else:
         rows = rows.join(limits.groupBy("source").agg(F.min("max_tokens").alias("size"), (F.min("max_tokens") - F.min_by("overlap", "max_tokens")).alias("step")), "source").select(key, "all", "size", "step")
     last = F.greatest(F.lit(0), F.ceil((F.size("all") - F.col("size")) / F.col("step"))).cast("int")
-    rows = rows.where(F.size("all") > 0).select(key, "all", "size", "step", F.explode(F.sequence(F.lit(0), last)).alias("ord"))
-    words = F.slice("all", F.col("ord") * F.col("step") + 1, F.col("size"))
-    return rows.select(key, "ord", F.size(words).alias("words"), F.array_join(words, " ").alias("text"))
+    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("all", k * F.col("step") + 1, F.col("size")))
+    texts = F.transform(parts, lambda w: F.struct(F.size(w).alias("words"), F.array_join(w, " ").alias("text")))
+    return rows.where(F.size("all") > 0).select(key, F.posexplode(texts).alias("ord", "window")).select(key, "ord", "window.words", "window.text")

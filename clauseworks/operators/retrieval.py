@@ -55,10 +55,10 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "id", stems: bool = F
     return tf.join(weight, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
-def ranked(scored: DataFrame, most: int | None = None) -> DataFrame:
+def ranked(scored: DataFrame, most: int | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """With rank: best score first (to 9 decimals), ties to the smaller id."""
     scored = scored.withColumn("score", F.round("score", 9))
-    rows = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")))
+    rows = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "id")))
     return rows if most is None else rows.where(F.col("rank") <= most)
 
 
@@ -71,6 +71,16 @@ def semantic(vectors: DataFrame, queries: DataFrame, most: int = 1000, key: str
     return top(search(vectors, asked, most, key, vec, dim), most)
 
 
+def fused_for(rankings: list[DataFrame], kappas: tuple[float, ...], name: str = "kappa {}") -> DataFrame:
+    """method, query_id, id, score: fused() for several kappas in one pass."""
+    rows = rankings[0].select("query_id", "id", "rank")
+    for r in rankings[1:]:
+        rows = rows.unionByName(r.select("query_id", "id", "rank"))
+    sums = rows.groupBy("query_id", "id").agg(*(F.sum(1 / (F.lit(float(k)) + F.col("rank"))).alias(f"k{n}") for n, k in enumerate(kappas)))
+    each = F.array(*(F.struct(F.lit(name.format(k)).alias("method"), F.col(f"k{n}").alias("score")) for n, k in enumerate(kappas)))
+    return sums.select("query_id", "id", F.explode(each).alias("x")).select("x.method", "query_id", "id", "x.score")
+
+
 def fused(rankings: list[DataFrame], kappa: float = KAPPA) -> DataFrame:
     """query_id, id, score: the sum over rankings (query_id, id, rank) of 1 / (kappa + rank); one that lacks a chunk adds nothing."""
     rows = rankings[0].select("query_id", "id", "rank")

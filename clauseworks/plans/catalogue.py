@@ -180,7 +180,7 @@ def hybrid_kappa_60(spark: SparkSession, d: str) -> DataFrame:
 
 def _run(spark: SparkSession, d: str, depth: int = 1000) -> DataFrame:
     """method, query_id, id, score, rank of three methods, cut at a depth."""
-    words, near = _rankings(spark, d)
+    words, near = (r.persist() for r in _rankings(spark, d))  # each is read as it is and by the fusion
     both = retrieval.ranked(retrieval.fused([words, near]))
     rows = [x.where(F.col("rank") <= depth).select(F.lit(m).alias("method"), "query_id", "id", "score", "rank") for m, x in (("bm25", words), ("semantic", near), ("hybrid", both))]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
@@ -232,11 +232,7 @@ def signed_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _kappa_scores(spark: SparkSession, d: str) -> DataFrame:
-    rankings = list(_rankings(spark, d))
-    runs = [retrieval.ranked(retrieval.fused(rankings, k), 10).withColumn("method", F.lit(f"kappa {k}")) for k in KAPPAS]
-    run = runs[0]
-    for r in runs[1:]:
-        run = run.unionByName(r)
+    run = retrieval.ranked(retrieval.fused_for(list(_rankings(spark, d)), KAPPAS), 10, ("method", "query_id"))
     position = F.create_map(*(F.lit(x) for n, k in enumerate(KAPPAS) for x in (f"kappa {k}", n)))
     return evaluation.metrics(run, _qrels(spark, d), _t(spark, d, "queries")).select(F.col("method").alias("setting"), position[F.col("method")].alias("position"), "query_id", "ndcg")
 
