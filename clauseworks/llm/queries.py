@@ -106,5 +106,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1:2].isdigit()}
 
 
+#: White space, as in splitting.
+_NOT_WHITE = f"[^{splitting.WHITE}]+"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can say; the other operators are held against brute force in the tests."""
+    usable = "len(vec) = 64 AND list_sum(list_transform(vec, lambda x: CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN 1 ELSE 0 END)) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0"
+    return {
+        "p3_found": f"""WITH c AS (SELECT id, first(doc_id) AS doc_id, max(source) AS source, len(regexp_extract_all(first(text), '{_NOT_WHITE}')) AS words FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY 1),
+d AS (SELECT doc_id, max(source) AS of_document FROM documents GROUP BY 1), l AS (SELECT source, min(max_tokens) AS most FROM chunk_config GROUP BY 1)
+SELECT id AS chunk_id FROM c LEFT JOIN d USING (doc_id) JOIN l ON l.source = coalesce(of_document, c.source) WHERE words > most""",
+        "p6_found": f"""WITH v AS (SELECT chunk_id AS id, CAST(first(vec) AS DOUBLE[]) AS vec FROM vectors WHERE {usable} GROUP BY 1),
+pairs AS (SELECT a.id, b.id AS near, list_cosine_similarity(a.vec, b.vec) AS score FROM v a JOIN v b ON a.id <> b.id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, near) AS place FROM pairs WHERE score >= 0.9)
+SELECT DISTINCT least(id, near) AS id_a, greatest(id, near) AS id_b FROM placed WHERE place <= 10""",
+        "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
+    }
