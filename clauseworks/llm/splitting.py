@@ -16,6 +16,8 @@ _LINE = re.compile("[\n\x0b\x0c\r\x85  ]")
 _SECTION = re.compile(r"(?i:section|article|schedule|annex|§)\W?$|§|\d{1,3}(?:\.\d{1,3})*[.)]?$")
 _CLAUSE = re.compile(r"\([^\W_]{1,4}\)|[ivxlIVXL]{1,5}[.)]$|[a-zA-Z][.)]$|[-•*–—]")
 _SENTENCE = re.compile("[.!?…。！？;:][)\\]\"'”’»]*$")
+#: What the last character of a sentence may be.
+_ENDS = frozenset(".!?\u2026\u3002\uff01\uff1f;:)]\"'\u201d\u2019\u00bb")
 #: Boundaries from strong to weak: section, paragraph, clause or line, sentence, word.
 SECTION, PARAGRAPH, CLAUSE, SENTENCE, ANY = range(5)
 
@@ -31,6 +33,8 @@ def atoms(text: str, max_chars: int | None = None) -> list[tuple[int, int]]:
 def _strength(text: str, left: tuple[int, int], right: tuple[int, int]) -> int:
     """How strong the boundary between two neighbouring atoms is."""
     gap = text[left[1] : right[0]]
+    if gap == " " and text[left[1] - 1] not in _ENDS:
+        return ANY
     if lines := len(_LINE.findall(gap.replace("\r\n", "\n"))):
         word = text[slice(*right)]
         return SECTION if _SECTION.match(word) else PARAGRAPH if lines > 1 else CLAUSE
@@ -110,4 +114,6 @@ def split_oversized(chunks: DataFrame, documents: DataFrame, config: DataFrame)
             types = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["chunk_id", "piece", "text", "char_start", "char_end", "words"])
 
-    return oversized(chunks, documents, config).mapInArrow(run, "chunk_id bigint, piece int, text string, char_start int, char_end int, words int")
+    # few texts, but much work each: spread over all cores, which sizes of partitions alone would not do
+    rows = oversized(chunks, documents, config).repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
+    return rows.mapInArrow(run, "chunk_id bigint, piece int, text string, char_start int, char_end int, words int")
