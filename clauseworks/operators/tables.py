@@ -99,3 +99,15 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     shift = F.create_map(*(F.lit(x) for pair in first.items() for x in pair))
     within = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
     return ranges.withColumn(name, (shift[F.col("part")] + within).cast("bigint")).drop("part")
+
+
+def split_by_contract(rows: DataFrame, contract: str, share: float, seed: str = SEED) -> DataFrame:
+    """With part, "validation" for about a share of the contracts and "train" for the others; rows of one contract stay together."""
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", contract, F.lit(seed))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return rows.withColumn("part", F.when(place < share, "validation").otherwise("train"))
+
+
+def category_batches(pairs: DataFrame, category: str, order: list[str], seed: str = SEED) -> DataFrame:
+    """With batch, from 0: a batch holds at most one pair of each category, in an order shuffled by a hash."""
+    mixed = F.md5(F.concat_ws("|", *order, F.lit(seed)))
+    return pairs.withColumn("batch", F.row_number().over(Window.partitionBy(category).orderBy(mixed, *order)) - 1)

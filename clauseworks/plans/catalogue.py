@@ -277,6 +277,15 @@ def training_pairs(spark: SparkSession, d: str) -> DataFrame:
     return tables.training_pairs(_t(spark, d, "spans"), _t(spark, d, "queries"))
 
 
+def training_batches(spark: SparkSession, d: str) -> DataFrame:
+    return tables.category_batches(training_pairs(spark, d), "category", ["span_id", "query_id"])
+
+
+def contract_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Valid spans, a fifth of the contracts kept for validation."""
+    return tables.split_by_contract(evaluation.valid_spans(_t(spark, d, "spans")).select("span_id", "file"), "file", 0.2)
+
+
 def sampled_documents(spark: SparkSession, d: str) -> DataFrame:
     return tables.sampled(_t(spark, d, "documents").select("doc_id", "path"), F.col("path"), 30)
 
@@ -306,7 +315,7 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
 _NAMES = (
     "hybrid_kappa_5 nearest_to_one nearest_of_each label_recall unit_vectors label_centroids label_margin vector_faults hash_embeddings normalized_text joined_hyphens clause_lines clause_units packed_chunks word_windows snippets text_hashes"
     " document_formats shared_trigrams bm25_documents bm25_chunks bm25_stemmed semantic_chunks hybrid_kappa_60 hit_details span_islands relevant_chunks relevance_counts metrics_per_query metrics_by_kind signed_ranks kappa_by_fold kappa_votes"
-    " run_lines qrel_lines latency_by_type kept_categories held_out_documents missing_evaluation_files training_pairs sampled_documents page_offsets passage_pages dense_chunk_ids table_counts"
+    " run_lines qrel_lines latency_by_type kept_categories held_out_documents missing_evaluation_files training_pairs training_batches contract_parts sampled_documents page_offsets passage_pages dense_chunk_ids table_counts"
 )
 
 

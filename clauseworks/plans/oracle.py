@@ -199,6 +199,9 @@ SELECT category, count(DISTINCT file) AS contracts FROM valid WHERE category NOT
         "missing_evaluation_files": f"SELECT file FROM ({evaluation}) WHERE file NOT IN (SELECT trim({_FILE}) FROM documents WHERE path IS NOT NULL)",
         "training_pairs": f"""WITH valid AS ({_SPANS}), pairs AS (SELECT span_id, q.id AS query_id, category FROM (SELECT span_id, category FROM valid) v JOIN (SELECT DISTINCT id, category FROM queries) q USING (category)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5(concat_ws('|', span_id, query_id, {_q(SEED)})), span_id, query_id) AS place FROM pairs) SELECT span_id, query_id, category FROM placed WHERE place <= 20""",
+        "training_batches": f"""WITH valid AS ({_SPANS}), pairs AS (SELECT span_id, q.id AS query_id, category FROM (SELECT span_id, category FROM valid) v JOIN (SELECT DISTINCT id, category FROM queries) q USING (category)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5(concat_ws('|', span_id, query_id, {_q(SEED)})), span_id, query_id) AS place FROM pairs) SELECT span_id, query_id, category, place - 1 AS batch FROM placed WHERE place <= 20""",
+        "contract_parts": f"WITH valid AS ({_SPANS}) SELECT span_id, file, CASE WHEN CAST('0x' || substring(md5(concat_ws('|', file, {_q(SEED)})), 1, 8) AS BIGINT) / 4294967296e0 < 0.2 THEN 'validation' ELSE 'train' END AS part FROM valid",
         "sampled_documents": f"SELECT doc_id, path FROM documents ORDER BY md5(concat_ws('|', path, {_q(SEED)})), path LIMIT 30",
         "page_offsets": """WITH once AS (SELECT id, min(doc_id) AS doc_id, min(ord) AS ord, min(length(text)) AS n FROM chunks WHERE id IS NOT NULL GROUP BY 1)
 SELECT doc_id, ord, coalesce(sum(n + 2) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM once""",

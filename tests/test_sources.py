@@ -134,3 +134,26 @@ def test_raw_vectors(spark, tmp_path):
     assert records.read_raw_vectors(spark, str(tmp_path / "v"), 3).collect()[1].vec == [3.0, 4.0, 5.0]
     with pytest.raises(records.BadRecord):
         records.read_raw_vectors(spark, str(tmp_path / "v"), 4)
+
+
+def test_written_test_set_comes_back(spark, tmp_path):
+    from clauseworks.sources import testset
+
+    contracts = spark.createDataFrame([("A / B", "äb\r\ncd"), ("C", "x")], "title string, text string")
+    spans = spark.createDataFrame([("Term", "A / B", 0, 2)], "category string, title string, char_start int, char_end int")
+    assert testset.write_test_set(contracts, spans, tmp_path) == 2
+    assert (tmp_path / "documents" / "A_B.txt").read_bytes() == "äb\r\ncd".encode()
+    assert (tmp_path / "docs.txt").read_text() == "A_B.txt\nC.txt\n"
+    assert tuple(records.read_spans(spark, str(tmp_path / "spans.tsv")).first()) == ("Term", "A_B.txt", 0, 2)
+    assert testset.has_checksum(tmp_path / "docs.txt", __import__("hashlib").sha256(b"A_B.txt\nC.txt\n").hexdigest())
+    assert testset.peak_memory_mb() > 1
+    with pytest.raises(ValueError):
+        testset.write_test_set(contracts.unionByName(spark.createDataFrame([("A  B", "")], "title string, text string")), spans, tmp_path)
+
+
+def test_functions_in_sql(spark):
+    from clauseworks.functions.register import register
+
+    assert set(register(spark, 4)) == {"normalize_text", "is_clause_start", "snippet", "dot", "hash_embed"}
+    r = spark.sql("SELECT normalize_text('a  b') AS n, is_clause_start('(a) x') AS c, is_clause_start('a x') AS d, snippet('one  two three', 8) AS s, snippet('onetwothree', 4) AS t, dot(array(1D, 2D), array(3D, 4D)) AS p, size(hash_embed('a')) AS h").first()
+    assert tuple(r) == ("a b", True, False, "one two…", "onet…", 11.0, 4)
