@@ -163,7 +163,7 @@ def residue_scores(documents: DataFrame) -> DataFrame:
             ids, best, best_mark = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 cut, marks = passages(text)
-                if not cut:
+                if not cut and not marks:
                     continue
                 top = -1e9
                 for p in cut:

@@ -16,6 +16,7 @@ CASES = [
     "Error 502: no se puede mostrar el documento.",
     "Dummy paragraph 4. This block only shows where the real wording will stand.",
     "Due on XX/XX/20XX at noon.",
+    "[object Object]",
 ]
 NONE = [
     "The fee is [***] per unit of the goods, confidential treatment requested.",
