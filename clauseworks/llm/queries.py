@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import forms, leaks, neardup, neighbours, overlap, packing, residue, splitting, tokens
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    table = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(table) if name in ("documents", "chunks", "vectors") else table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
