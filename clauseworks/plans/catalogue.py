@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import chunking, evaluation, retrieval, tables
+from ..session import spread
 
 KAPPAS = (1, 5, 20, 60)
 PAIRS = [("semantic", "bm25"), ("hybrid", "bm25"), ("hybrid", "semantic")]
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    table = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(table) if name in ("documents", "chunks") else table
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:

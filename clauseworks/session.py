@@ -32,3 +32,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="clauseworks-"))
     return df.checkpoint()
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A stored table with at least a partition for each core: one of a few files that can't be split would keep the others idle.
+
+    Large tables have more partitions than that and stay as they are, unshuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
