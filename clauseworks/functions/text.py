@@ -74,6 +74,11 @@ def snippet(text: Column, most: int) -> Column:
     return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.when(cut != "", cut).otherwise(F.substring(flat, 1, most)), F.lit("…")))
 
 
+def words(text: Column) -> Column:
+    """Runs without white space; an empty list for blank text, null for null."""
+    return F.filter(F.split(text, f"[{BREAKS}{SPACES}]+"), lambda w: w != "")
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -91,13 +96,14 @@ def safe_file_name(title: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Lower-cased runs of letters and digits of at most 40 bytes; an empty list for null."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.filter(found, lambda t: F.octet_length(t) <= 40)
+    # split() takes time in proportion to the text; regexp_extract_all copies the text for every match
+    found = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    return F.filter(found, lambda t: (t != "") & (F.octet_length(t) <= 40))
 
 
 def trigrams(text: Column) -> Column:
     """Distinct runs of three words of ASCII letters and digits, lower-cased."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
     runs = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda k: F.array_join(F.slice(words, k, 3), " "))
     return F.when(F.size(words) >= 3, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 

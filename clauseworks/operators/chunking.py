@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BREAKS, CLAUSE_LINE, SPACES
+from ..functions.text import BREAKS, CLAUSE_LINE, SPACES, words
 
 _CLAUSE = regex.compile(CLAUSE_LINE)
 #: What a clause line begins with, at least.
@@ -118,7 +118,7 @@ def word_windows(documents: DataFrame, limits: DataFrame | None = None, size: in
 
     A text within the size has one window, a blank one none.
     """
-    rows = documents.where("text is not null").withColumn("all", F.regexp_extract_all("text", F.lit(f"[^{BREAKS}{SPACES}]+"), F.lit(0)))
+    rows = documents.where(F.col("text").rlike(f"[^{BREAKS}{SPACES}]")).withColumn("all", words(F.col("text")))
     if limits is None:
         rows = rows.select(key, "all", F.lit(size).alias("size"), F.lit(size - overlap).alias("step"))
     else:
@@ -126,4 +126,4 @@ def word_windows(documents: DataFrame, limits: DataFrame | None = None, size: in
     last = F.greatest(F.lit(0), F.ceil((F.size("all") - F.col("size")) / F.col("step"))).cast("int")
     parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("all", k * F.col("step") + 1, F.col("size")))
     texts = F.transform(parts, lambda w: F.struct(F.size(w).alias("words"), F.array_join(w, " ").alias("text")))
-    return rows.where(F.size("all") > 0).select(key, F.posexplode(texts).alias("ord", "window")).select(key, "ord", "window.words", "window.text")
+    return rows.select(key, F.posexplode(texts).alias("ord", "window")).select(key, "ord", "window.words", "window.text")

@@ -41,7 +41,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "id", stems: bool = F
     """
     asked = queries.where("query_id is not null").select("query_id", F.explode(analyse(F.col("text"))).alias("term"))
     asked = (_stemmed_terms(asked) if stems else asked).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    once = chunks.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(analyse(F.col("text"))).alias("all")).withColumn("length", F.size("all"))
+    once = chunks.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max("text").alias("text"))
+    once = once.select("id", analyse(F.col("text")).alias("all")).withColumn("length", F.size("all"))
     corpus = once.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     postings = once.select("id", "length", F.explode("all").alias("term"))
     postings = _stemmed_terms(postings) if stems else postings

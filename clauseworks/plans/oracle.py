@@ -40,7 +40,7 @@ _TERMS = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N
 def _bm25(table: str, key: str) -> str:
     """CTEs that end in words(query_id, id, score)."""
     return f"""
-once AS (SELECT {key} AS id, max({_TERMS}) AS terms FROM {table} WHERE {key} IS NOT NULL GROUP BY 1),
+once AS (SELECT id, {_TERMS} AS terms FROM (SELECT {key} AS id, max(text) AS text FROM {table} WHERE {key} IS NOT NULL GROUP BY 1)),
 corpus AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM once),
 postings AS (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(terms) AS length, unnest(terms) AS term FROM once) GROUP BY ALL),
 asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT id AS query_id, unnest({_TERMS}) AS term FROM queries) GROUP BY ALL),
