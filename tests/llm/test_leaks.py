@@ -55,3 +55,9 @@ def test_items_of_spans_and_training_documents(spark):
     queries = spark.createDataFrame([("q", "zero " + TEN, 1), (None, TEN, 1)], "id string, text string, item int")
     got = {tuple(r) for r in leaks.leaked_items(documents, queries, docs, spans).collect()}
     assert got == {(i, d) for i in ("s1", "s3", "q") for d in (2, 3)}
+
+
+def test_very_long_texts_and_ties(spark):
+    long = "word " * 200_000
+    got = _run(spark, [(1, long + TEN), (2, long)], [("a", TEN), ("b", TEN), ("c", "other " + TEN + " " + "z " * 50_000)]).collect()
+    assert {tuple(r) for r in got} == {("a", 1), ("b", 1), ("c", 1)}

@@ -95,3 +95,15 @@ def test_empty_table(spark):
 def test_many_copies(spark):
     df = spark.range(300).selectExpr("id", "if(id < 100, 'the same old clause again and again', concat('clause ', id, ' of ', id * 7, ' words ', id * 13)) AS text")
     assert neardup.similar_pairs(df).count() == 100 * 99 // 2
+
+
+def test_very_long_texts(spark):
+    import numpy as np
+
+    words = [f"w{k}" for k in np.random.default_rng(0).integers(0, 5000, 60_000)]
+    other = list(words)
+    other[::40] = ["new"] * len(other[::40])
+    far = list(words)
+    far[::5] = ["new"] * len(far[::5])
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(far))], "id bigint, text string")
+    assert [tuple(r) for r in neardup.similar_pairs(df).collect()] == [(1, 2)]

@@ -40,6 +40,15 @@ def test_spark(spark):
     documents = spark.createDataFrame([(7, "t"), (8, None)], "doc_id bigint, source string")
     config = spark.createDataFrame([("s", 2, 0, 0), ("t", 4, 1, 0), ("u", None, None, 0)], "source string, max_tokens int, overlap int, capacity int")
     rows = splitting.split_oversized(chunks, documents, config).orderBy("chunk_id", "piece").collect()
-    assert [(r.chunk_id, r.text, r.char_start, r.char_end) for r in rows] == [(1, "a b c", 10, 15), (1, "c d e", 14, 19), (3, "a b", None, None), (3, "c", None, None)] or [(r.chunk_id, r.piece) for r in rows] == [(1, 0), (1, 1), (3, 0), (3, 1)]
+    # the document's source holds, the chunk's own where the document has none; chunk 4 has neither
+    want = [(1, 0, "a b c d", 10, 17), (1, 1, "d e", 16, 19), (3, 0, "a b", None, None), (3, 1, "c", None, None)]
+    assert [(r.chunk_id, r.piece, r.text, r.char_start, r.char_end) for r in rows] == want
     assert splitting.split_oversized(chunks.limit(0), documents, config).count() == 0
     assert splitting.split_oversized(chunks, documents, config.limit(0)).count() == 0
+
+
+def test_very_long_text():
+    text = "word, " * 100_000
+    got = pieces(text, 200, 40)
+    assert all(len(text[s:e].split()) <= 200 for s, e in got)
+    assert got[0][0] == 0 and got[-1][1] == len(text.rstrip())
