@@ -41,7 +41,7 @@ def test_spark(spark):
     config = spark.createDataFrame([("s", 2, 0, 0), ("t", 4, 1, 0), ("u", None, None, 0)], "source string, max_tokens int, overlap int, capacity int")
     rows = splitting.split_oversized(chunks, documents, config).orderBy("chunk_id", "piece").collect()
     # the document's source holds, the chunk's own where the document has none; chunk 4 has neither
-    want = [(1, 0, "a b c d", 10, 17), (1, 1, "d e", 16, 19), (3, 0, "a b", None, None), (3, 1, "c", None, None)]
+    want = [(1, 0, "a b c d", 10, 17), (1, 1, "d e", 16, 19), (3, 0, "a\u00a0b", None, None), (3, 1, "c", None, None)]
     assert [(r.chunk_id, r.piece, r.text, r.char_start, r.char_end) for r in rows] == want
     assert splitting.split_oversized(chunks.limit(0), documents, config).count() == 0
     assert splitting.split_oversized(chunks, documents, config.limit(0)).count() == 0
