@@ -190,7 +190,8 @@ def nearest(vectors: DataFrame, k: int = 10, least: float | None = None, every:
     """
     rows = checkpointed(usable(vectors, key, vec).dropDuplicates(["id"]))
     spark = vectors.sparkSession
-    members = rows.select("id", F.min("id").over(Window.partitionBy("hash")).alias("class"))
+    # not as a window, which would hold all copies of a vector in one task
+    members = rows.select("id", "hash").join(rows.groupBy("hash").agg(F.min("id").alias("class")), "hash").select("id", "class")
     distinct = checkpointed(rows.join(members.where("id = class").select("id"), "id").select("id", "vec"))
     total = distinct.count()
     if total < 2 and rows.count() < 2:
