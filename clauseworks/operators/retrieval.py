@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.stem import stem
 from ..functions.text import terms
@@ -88,3 +90,70 @@ def fused(rankings: list[DataFrame], kappa: float = KAPPA) -> DataFrame:
     for r in rankings[1:]:
         rows = rows.unionByName(r.select("query_id", "id", "rank"))
     return rows.groupBy("query_id", "id").agg(F.sum(1 / (F.lit(float(kappa)) + F.col("rank"))).alias("score"))
+
+
+@pandas_udf(ArrayType(StringType()))
+def stemmed_all(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda words: None if words is None else [stem(w) for w in words])
+
+
+#: A part of a query: a sign, then words in quotes or one without blanks.
+_PART = re.compile(r'([+-]?)(?:"([^"]*)"|(\S+))')
+
+
+def parse_query(text: str, stems: bool = True) -> list[tuple[str, tuple[str, ...]]]:
+    """Clauses of a query: "should", "must" or "not", and the terms that stand side by side.
+
+    Quotes and hyphens make phrases; + and AND demand, - excludes, OR changes
+    nothing.  All other signs only separate words, and a quote or a bracket
+    without its partner is one of these, so every text is a query.
+    """
+    clauses: list[tuple[str, tuple[str, ...]]] = []
+    demanded = False
+    for sign, quoted, plain in _PART.findall(text):
+        if not sign and plain in ("AND", "OR"):
+            if plain == "AND" and clauses and clauses[-1][0] == "should":
+                clauses[-1] = ("must", clauses[-1][1])
+            demanded = plain == "AND"
+            continue
+        groups = [quoted] if quoted else re.split(r"[^\w'\u2019\u2010\u2011-]+", plain)
+        occur = "not" if sign == "-" else "must" if sign == "+" or demanded else "should"
+        demanded = False
+        for group in groups:
+            found = [w for w in regex.findall(r"[\p{L}\p{N}]+", group.lower()) if len(w.encode()) <= 40]
+            if found:
+                clauses.append((occur, tuple(stem(w) if stems else w for w in found)))
+    return clauses
+
+
+def _runs(words: Column, n: int) -> Column:
+    """All n neighbouring words, as one string each."""
+    some = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda k: F.array_join(F.slice(words, k, n), " "))
+    return F.when(F.size(words) >= n, some).otherwise(F.array().cast("array<string>"))
+
+
+def bm25_parsed(chunks: DataFrame, queries: list[tuple[str, str]], key: str = "id", stems: bool = True) -> DataFrame:
+    """query_id, id, score as by bm25(), for queries (id, text) with phrases, demanded and excluded parts.
+
+    A phrase counts like a term whose idf is the sum of its terms'.  A chunk must
+    hold every demanded part, no excluded one, and something that scores.
+    """
+    spark = chunks.sparkSession
+    clauses = [(q, n, occur, " ".join(words), w) for q, text in queries for n, (occur, words) in enumerate(parse_query(text, stems)) for w in words]
+    rows = spark.createDataFrame(clauses, "query_id string, clause int, occur string, term string, word string")
+    needed = spark.createDataFrame([(q, sum(o == "must" for o, _ in parse_query(text, stems))) for q, text in queries], "query_id string, needed int")
+    lengths = sorted({len(t.split(" ")) for _, _, _, t, _ in clauses} - {1})
+    once = chunks.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max("text").alias("text"))
+    once = once.select("id", stemmed_all(terms(F.col("text"))).alias("all") if stems else terms(F.col("text")).alias("all")).withColumn("length", F.size("all"))
+    runs = [_runs(F.col("all"), n) for n in lengths]
+    wanted = F.broadcast(rows.select("term").union(rows.select("word")).distinct())  # parts of the stated queries
+    tf = once.select("id", "length", F.explode(F.concat("all", *runs)).alias("term")).join(wanted, "term", "left_semi").groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
+    corpus = once.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).withColumnRenamed("term", "word")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = rows.join(df, "word").crossJoin(F.broadcast(corpus)).groupBy("query_id", "clause", "occur", "term", "mean").agg(F.sum(idf).alias("weight"))  # one row
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    found = tf.join(weight, "term").groupBy("query_id", "id").agg(
+        F.sum(F.when(F.col("occur") != "not", part)).alias("score"), F.countDistinct(F.when(F.col("occur") == "must", F.col("clause"))).alias("held"), F.max(F.col("occur") == "not").alias("excluded")
+    )
+    return found.join(F.broadcast(needed), "query_id").where("score is not null and held = needed and not excluded").select("query_id", "id", "score")

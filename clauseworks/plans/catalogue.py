@@ -162,6 +162,12 @@ def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
     return _top(retrieval.bm25(_t(spark, d, "chunks"), _queries(spark, d), stems=True))
 
 
+def bm25_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """With phrases and signs of the query texts, stemmed."""
+    asked = [(r.id, r.text) for r in _t(spark, d, "queries").collect()]
+    return _top(retrieval.bm25_parsed(_t(spark, d, "chunks"), asked))
+
+
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.semantic(_t(spark, d, "vectors"), _queries(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -316,7 +322,7 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
 
 _NAMES = (
     "hybrid_kappa_5 nearest_to_one nearest_of_each label_recall unit_vectors label_centroids label_margin vector_faults hash_embeddings normalized_text joined_hyphens clause_lines clause_units packed_chunks word_windows snippets text_hashes"
-    " document_formats shared_trigrams bm25_documents bm25_chunks bm25_stemmed semantic_chunks hybrid_kappa_60 hit_details span_islands relevant_chunks relevance_counts metrics_per_query metrics_by_kind signed_ranks kappa_by_fold kappa_votes"
+    " document_formats shared_trigrams bm25_documents bm25_chunks bm25_stemmed bm25_parsed semantic_chunks hybrid_kappa_60 hit_details span_islands relevant_chunks relevance_counts metrics_per_query metrics_by_kind signed_ranks kappa_by_fold kappa_votes"
     " run_lines qrel_lines latency_by_type kept_categories held_out_documents missing_evaluation_files training_pairs training_batches contract_parts sampled_documents page_offsets passage_pages dense_chunk_ids table_counts"
 )
 

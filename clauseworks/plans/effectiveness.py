@@ -34,7 +34,7 @@ def evaluate(spark: SparkSession, index: Index, queries: DataFrame, spans: DataF
     """Full rankings of all queries at once, fused, cut at DEPTH, judged and scored."""
     asked = queries.withColumnRenamed("id", "query_id")
     texts = [(r.query_id, embed_query(index.embedder, r.text).tolist()) for r in asked.select("query_id", "text").collect()]
-    words = retrieval.ranked(retrieval.bm25(index.chunks, asked, stems=stems))
+    words = retrieval.ranked(retrieval.bm25_parsed(index.chunks, [(r.query_id, r.text) for r in asked.select("query_id", "text").collect()], stems=stems))
     near = top(search(index.vectors, texts, 1 << 60, "id", "vec", index.embedder.model.dim), 1 << 60)
     both = retrieval.ranked(retrieval.fused([words, near], kappa))
     parts = [x.where(F.col("rank") <= DEPTH).select(F.lit(m).alias("method"), "query_id", "id", "score", "rank") for m, x in (("bm25", words), ("semantic", near), ("hybrid", both))]

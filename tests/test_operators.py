@@ -164,3 +164,31 @@ def test_empty_tables(spark):
     asked = spark.createDataFrame([("q", "x")], "query_id string, text string")
     assert retrieval.ranked(retrieval.bm25(none, asked)).count() == 0
     assert vectors.top(vectors.search(spark.createDataFrame([], "id bigint, vec array<float>"), [("q", [1.0])], 3, "id", "vec", 1), 3).count() == 0
+
+
+def test_query_syntax():
+    parse = lambda q: retrieval.parse_query(q, stems=False)
+    assert parse('rent "due date" non-compete') == [("should", ("rent",)), ("should", ("due", "date")), ("should", ("non", "compete"))]
+    assert parse("+a -b c AND d OR e") == [("must", ("a",)), ("not", ("b",)), ("must", ("c",)), ("must", ("d",)), ("should", ("e",))]
+    assert parse('"section 5: (x') == [("should", ("section",)), ("should", ("5",)), ("should", ("x",))]
+    assert parse("") == parse(' - "" ()') == []
+
+
+def test_phrases_demands_and_exclusions(spark):
+    texts = ["non compete clause", "compete or non", "clause only", "royalty fee", "other", "royalty fee", None]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+
+    def ids(query):
+        return [r.id for r in retrieval.ranked(retrieval.bm25_parsed(chunks, [("q", query)])).orderBy("rank").collect()]
+
+    assert ids("non-compete") == [0]
+    assert ids("compete") == [0, 1]
+    assert ids("+clause -only") == [0]
+    assert ids("clause AND royalty") == []
+    assert ids("-only") == []
+    assert ids("royalties") == [3, 5]
+    assert set(ids('"clause fee')) == {0, 2, 3, 5}
+    plain = spark.createDataFrame([("q", "royalty clause clause")], "query_id string, text string")
+    a = {r.id: r.score for r in retrieval.bm25(chunks, plain, stems=True).collect()}
+    b = {r.id: r.score for r in retrieval.bm25_parsed(chunks, [("q", "royalty clause clause")]).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
