@@ -23,7 +23,7 @@ BREAKS = "\n\x0b\x0c\r\x85\u2028\u2029"
 SPACES = "\t \xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
 _RUN = re.compile(f"[{BREAKS}{SPACES}]+")
 _BREAK = re.compile(f"\r\n|[{BREAKS}]")
-#: A line that begins a clause: "12.", "12.3", "4)", "(a)", "iv.", "Section 3", "v." before capitals.
+#: Fixed value: a line that begins a clause: "12.", "12.3", "4)", "(a)", "iv.", "Section 3", "v." before capitals.
 CLAUSE_LINE = (
     r"^((?i:section|article)\s+([0-9]{1,3}(\.[0-9]{1,3})*|([ivxl]{1,5}|[IVXL]{1,5}))[.:]*(\s*$|\s+[^\p{Ll}\s].*$)"
     r"|\([A-Za-z0-9]{1,4}\)\s.*"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_name
 
+#: Fixed value: ranks that count.
 DEPTH = 10
 
 

@@ -16,6 +16,7 @@ from ..functions.stem import stem
 from ..functions.text import terms
 from ..functions.vectors import search, top
 
+#: BM25's constants, and what is added to ranks in fusion.
 K1, B = 1.2, 0.75
 KAPPA = 5
 #: Terms of queries that are broadcast at most (about 100 bytes each).

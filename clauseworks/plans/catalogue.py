@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -21,6 +21,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spread(table) if name in ("documents", "chunks") else table
 
 
+def _long(name: str) -> Column:
+    """A number as SQL's functions give it."""
+    return F.col(name).cast("bigint").alias(name)
+
+
 def _queries(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "queries").withColumnRenamed("id", "query_id")
 
@@ -35,13 +40,13 @@ def _asked(spark: SparkSession, d: str, where: str) -> list[tuple[int, list[floa
 
 def nearest_to_one(spark: SparkSession, d: str) -> DataFrame:
     found = vx.top(vx.search(_t(spark, d, "embeddings"), _asked(spark, d, "vec_id = 0"), 10, "vec_id", "embedding", 64, "bigint"), 10)
-    return found.select("id", F.round("score", 6).alias("score"), "rank")
+    return found.select("id", F.round("score", 6).alias("score"), _long("rank"))
 
 
 def nearest_of_each(spark: SparkSession, d: str) -> DataFrame:
     """Five nearest, itself among them, of every vector whose id is divisible by 50."""
     found = vx.top(vx.search(_t(spark, d, "embeddings"), _asked(spark, d, "vec_id % 50 = 0"), 5, "vec_id", "embedding", 64, "bigint"), 5)
-    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), _long("rank"))
 
 
 def label_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -59,11 +64,11 @@ def _unit_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return _unit_values(spark, d).select("vec_id", "place", F.round("value", 6).alias("value"))
+    return _unit_values(spark, d).select("vec_id", _long("place"), F.round("value", 6).alias("value"))
 
 
 def label_centroids(spark: SparkSession, d: str) -> DataFrame:
-    return _unit_values(spark, d).groupBy("label", "place").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
+    return _unit_values(spark, d).groupBy("label", _long("place")).agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
 
 
 def label_margin(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +152,7 @@ def shared_trigrams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _top(rows: DataFrame) -> DataFrame:
-    return retrieval.ranked(rows, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.ranked(rows, 10).select("query_id", "id", F.round("score", 6).alias("score"), _long("rank"))
 
 
 def bm25_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +174,7 @@ def bm25_parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.semantic(_t(spark, d, "vectors"), _queries(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.semantic(_t(spark, d, "vectors"), _queries(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"), _long("rank"))
 
 
 def _rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -286,7 +291,7 @@ def training_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def training_batches(spark: SparkSession, d: str) -> DataFrame:
-    return tables.category_batches(training_pairs(spark, d), "category", ["span_id", "query_id"])
+    return tables.category_batches(training_pairs(spark, d), "category", ["span_id", "query_id"]).withColumn("batch", _long("batch"))
 
 
 def contract_parts(spark: SparkSession, d: str) -> DataFrame:

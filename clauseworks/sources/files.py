@@ -14,6 +14,7 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Formats, the size limit, and below the least text of a page.
 FORMATS = ("pdf", "docx", "txt")
 MOST_BYTES = 50 * 1024 * 1024
 #: Visible characters a page must have on average for a PDF file to count as one with a text layer.
