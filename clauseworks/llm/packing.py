@@ -82,7 +82,7 @@ def fill(documents: DataFrame, config: DataFrame, vocabulary: str = VOCABULARY,
     empty texts have no tokens and the container null.  The capacity is that of
     the document's source, default_capacity where it has none.  Each task fills
     containers from its own texts, some thousands at a time, so nothing is
-    shuffled and at most one container of a task and capacity is filled badly.
+    shuffled and only the last containers of a task and capacity, when few texts are left, are filled badly.
     Repeated rows are placed each for itself.
     """
     capacities = {r.source: r.capacity for r in config.where("source is not null and capacity > 0").groupBy("source").agg(F.min("capacity").alias("capacity")).collect()}
