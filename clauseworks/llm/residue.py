@@ -55,11 +55,19 @@ _ASKS = re.compile(r"(?i)^(?:insert|fill in|enter|tb[cd]\b)|\bto be (?:completed
 #: Passages that are trusted to be filler or messages.
 _TRUSTED = re.compile(
     r"(?i)\blorem ipsum\b|(?:^|\W)(?:error|fehler|erreur|http error)\W{0,3}[45]\d\d\b|^(?:.{0,40}\W)?[45]\d\d (?:not found|forbidden|bad gateway|gateway timeout|request timeout|service unavailable|internal server error|too many requests|gone|unauthorized|bad request)\b"
-    r"|\b(?:enable|turn on|activate|activez|active|aktivieren sie) javascript\b|\btraceback \(most recent|\boops\W+something went wrong\b|\bsomething went wrong on our\b|\baccess denied\W|\bdown for maintenance\b|\bchecking your browser\b|\ballow cookies\b"
+    r"|\b(?:enable|turn on|activate|activez|active|aktivieren sie) javascript\b|\bjavascript (?:must|needs to|has to) be (?:enabled|turned on|activated)(?=\W*$| to | in your | for this )|\btraceback \(most recent|\boops\W+something went wrong\b|\bsomething went wrong on our\b|\baccess denied\W|\bdown for maintenance\b|\bchecking your browser\b|\ballow cookies\b"
     r"|\byour text (?:goes )?here\b|\bdummy paragraph\b|\bplaceholder copy\b|^sample text\W|\breplace this (?:paragraph|text)\b"
 )
-#: Terms that are defined, owed or forbidden are spoken of.
-_SPOKEN_OF = re.compile(r"(?i)[\"“”][^\"“”]{1,60}[\"“”].{0,40}\bmeans?\b|\b(?:shall|must|may|will|agrees?) (?:not |never |[a-z]+ly )?(?!stand\b)[a-z]+\b")
+#: Terms that are defined, owed or forbidden are spoken of, but not where a message speaks to its reader or of itself.
+_SPOKEN_OF = re.compile(
+    r"(?i)[\"“”][^\"“”]{1,60}[\"“”].{0,40}\bmeans?\b|\b(?P<modal>"
+    r"(?<!\byou )(?<!\bwe )(?<!\bit )(?<!\bjavascript )(?<!\bscripts )(?<!\bscripting )(?<!\bcookies )(?<!\bbrowser )(?<!\bthis page )(?<!\bthis site )(?<!\bthis website )(?<!\bthis document )"
+    r"(?:must|may|will)|(?:(?<=\byou )|(?<=\bwe ))(?:must|may|will)(?= (?:not|never) (?!be\b|have\b|see\b))|shall|agrees?) (?:not |never |[a-z]+ly )?(?!stand\b|have been\b|no longer\b|be back\b|be available again\b)[a-z]+\b"
+)
+#: Where a new clause begins, unless what stands before is a condition of it.
+_CLAUSE = re.compile(r"[;:] | [-–—] |, (?=(?:or|otherwise|but|and|so|as|because)\b)", re.IGNORECASE)
+_CONDITION = re.compile(r"(?i)\W*(?:\w\) )?(?:where|if|when|whenever|should|unless|until|upon|once|while|in case|in the event|for|after|before|during|subject)\b")
+_SENTENCE = re.compile(r"[.!?] ")
 
 
 def passages(text: str) -> tuple[list[str], list[re.Match]]:
@@ -93,8 +101,27 @@ def _trusted_mark(m: re.Match) -> bool:
     return bool(m["date"]) or bool(inner) and (m["open"] in _TRUSTED_OPEN or bool(_ASKS.search(inner)) or m["bullet"] in ("•", "●")) or not inner and m["bullet"] in ("•", "●")
 
 
+def spoken_of(passage: str) -> bool:
+    """Whether all that the patterns trust here, if anything, stands in clauses that define, owe or forbid something.
+
+    Such a clause reaches from where it or its condition begins to the end of the sentence, lists included.
+    """
+    found = list(_SPOKEN_OF.finditer(passage))
+    if not found:
+        return False
+    scopes = []
+    for m in found:
+        start = max((e.end() for e in _SENTENCE.finditer(passage, 0, m.start())), default=0)
+        for c in _CLAUSE.finditer(passage, start, m.start()):
+            if not _CONDITION.match(passage, start):
+                start = c.end()
+        end = _SENTENCE.search(passage, m.end())
+        scopes.append((start, end.start() if end else len(passage)))
+    return all(any(a <= t.start() < b for a, b in scopes) for t in _TRUSTED.finditer(passage))
+
+
 def trusted(passage: str) -> bool:
-    return bool(_TRUSTED.search(passage)) and not _SPOKEN_OF.search(passage)
+    return bool(_TRUSTED.search(passage)) and not spoken_of(passage)
 
 
 def fit(rows: list[tuple[bool, list[str]]]) -> dict[str, float]:
@@ -173,7 +200,7 @@ def residue_scores(documents: DataFrame) -> DataFrame:
                     if odds < PASSAGE_ODDS:
                         if odds > TRUSTED_ODDS and trusted(p):
                             odds = PASSAGE_ODDS
-                    elif (own < TERM_ODDS * len(terms) and not trusted(p)) or _SPOKEN_OF.search(p):
+                    elif (own < TERM_ODDS * len(terms) and not trusted(p)) or spoken_of(p):
                         continue
                     top = max(top, odds)
                 ids.append(doc)

@@ -68,3 +68,36 @@ def test_without_any_trusted_example(spark):
 def test_long_texts(spark):
     df = spark.createDataFrame([(1, "The Buyer pays. " * 20_000 + "{{ amount }}")], "doc_id bigint, text string")
     assert residue.residue_documents(df).count() == 1
+
+
+MESSAGES = [
+    "You must enable JavaScript to view this document.",
+    "JavaScript must be enabled to view this page.",
+    "Error 404: the page may have been moved.",
+    "Please enable JavaScript, or this page will not load.",
+    "We are down for maintenance and will be back soon.",
+    "Error 503 - the administrator will look into it.",
+]
+SPOKEN_OF = [
+    "Where error 404 is shown on the portal, the Supplier must repair it within two days.",
+    "The following must be repaired: error 404 pages; lorem ipsum texts.",
+    "If the portal shows error 404, and the Buyer complains, the Supplier must repair it.",
+    "You may not print lorem ipsum in the catalogue.",
+    "Any page that returns error 404 must be repaired by the Supplier.",
+]
+
+
+def _among_clauses(spark, rows):
+    """Numbers of those rows that are found among ordinary clauses and some residue."""
+    rng = random.Random(2)
+    party, verb, thing = ["Buyer", "Seller", "Agent"], ["shall deliver", "may inspect", "must insure"], ["the goods", "a warranty", "every shipment"]
+    clauses = [" ".join(f"The {rng.choice(party)} {rng.choice(verb)} {rng.choice(thing)} within {rng.randrange(90)} days of notice." for _ in range(4)) for _ in range(400)]
+    marks = [f"The {rng.choice(party)} {m} the goods." for m in ("[Intentionally omitted]", "[Signature page follows]", "[***]") for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate([*rows, *CASES, *clauses, *marks])), "doc_id bigint, text string")
+    return {r.doc_id for r in residue.residue_documents(df).collect() if r.doc_id < len(rows)}
+
+
+def test_messages_with_modal_verbs(spark):
+    n = len(MESSAGES)
+    rows = [*MESSAGES, *[f"The Buyer shall pay the price.\n{m}" for m in MESSAGES], *SPOKEN_OF]
+    assert [rows[k] for k in sorted(set(range(2 * n)) ^ _among_clauses(spark, rows))] == []
