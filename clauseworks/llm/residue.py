@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from math import log
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ SMOOTH = 300.0
 #: Log odds from which a passage or a mark counts, and the mean of a passage's terms from which it does: ordinary
 #: wording that happens to share some words with a message mixes terms of either sign.
 PASSAGE_ODDS, MARK_ODDS, TERM_ODDS = 1.0, -2.0, 3.0
-#: Log odds from which a trusted passage counts as one with PASSAGE_ODDS.
+#: Log odds from which a trusted passage counts as one with PASSAGE_ODDS, a trusted wide mark as one with MARK_ODDS.
 TRUSTED_ODDS = -8.0
+#: Log odds from which other wide marks count: whole sentences stand in brackets, too.
+WIDE_ODDS = 1.0
 
 _BREAK = "␞"
 _LINES = re.compile("\r\n?|[\n\x0b\x0c\x85  ]")
@@ -48,10 +51,30 @@ _MARK = re.compile(
     r"(?P<close>\}\}|%\}|\}|%>|\?>|>>?|\]\]?|\$\$|@@|%(?!\w)|__(?!\w)|\))"
     r"|(?<!\w)(?P<date>(?:XX|DD|MM)([/.-])(?:XX|MM|DD)\6(?:\d\dXX|XX(?:XX)?|YY(?:YY)?))(?!\w)"
 )
+#: Marks that hold anything else up to their own delimiter on the line, however long, sought where none of the above is.
+#: Quoted keys in braces are data, attributes and addresses in angles and XML declarations are markup.
+_WIDE_KINDS = [(o, rf"(?:(?!{o}|{c})[^{_BREAK}])+", c) for o, c in ((r"\{\{", r"\}\}"), (r"\{%", "%}"), (r"<%=?", "%>"), (r"<\?=?(?!xml)", r"\?>"), ("<<", ">>"), (r"\[\[", r"\]\]"))] + [
+    (r"[$#]\{", rf"[^{{}}{_BREAK}]+", r"\}"),
+    (r"\$\$", rf"(?=[^\W\d])[^${_BREAK}]+", r"\$\$"),
+    ("@@", rf"(?=[^\W\d])[^@{_BREAK}]+", "@@"),
+    (r"(?<![\w%])%", rf"(?=[^\W\d])[^\s%{_BREAK}]+", r"%(?!\w)"),
+    (r"(?<!\w)__", rf"(?=[^\W\d_])[^\s{_BREAK}]+?", r"__(?!\w)"),
+    (r"(?<![{$#])\{(?![{%])", rf"[^{{}}\"“”;{_BREAK}]+", r"\}"),
+    (r"(?<!<)<", rf"(?=[^\W\d])(?!\w+:/)[^<>\"“”=@;{_BREAK}]*[^<>\"“”=@;/{_BREAK}]", ">"),
+    (r"(?<!\[)\[(?!\[)", rf"(?:[^\[\]{_BREAK}]|\[\d+\])+", r"\]"),
+    (r"\(", rf"(?=(?i:fill|insert|enter|tb[cda]|your)\b)[^(){_BREAK}]+", r"\)"),
+]
+_WIDE = re.compile("|".join(rf"(?P<open{k}>{o})(?P<inner{k}>{i})(?P<close{k}>{c})" for k, (o, i, c) in enumerate(_WIDE_KINDS)))
 _MAY_HOLD_MARK = re.compile(r"[\[{<$@●•]|__|%\w|(?:XX|DD|MM)[/.-]|\((?i:fill|insert|enter|tb[cda]|your)\b")
 #: Marks that are trusted to be placeholders: delimiters of template languages, and words that ask for a value.
 _TRUSTED_OPEN = {"{{", "{%", "${", "#{", "<%", "<%=", "<?", "<?=", "<<", "[[", "$$", "@@", "__", "%", "<", "{"}
 _ASKS = re.compile(r"(?i)^(?:insert|fill in|enter|tb[cd]\b)|\bto be (?:completed|inserted|confirmed)$|\bhere$|^object Object$")
+_ALWAYS_TEMPLATE = {"{{", "{%", "${", "#{", "<%", "<%=", "<?", "<?="}
+_ASKS_AT_LENGTH = re.compile(r"(?i)^(?:insert|fill in|enter|tb[cd])\b|\bto be (?:completed|inserted|confirmed)$")
+#: One of several names, as in [Party A/Party B].
+_CHOICE = re.compile(r"[A-Z][a-z]{2,}(?: [A-Z][a-z]*){0,3}(?: ?/ ?[A-Z][a-z]{2,}(?: [A-Z][a-z]*){0,3})+")
+#: Characters from which a wide mark is long.
+LONG_MARK = 40
 #: Passages that are trusted to be filler or messages.
 _TRUSTED = re.compile(
     r"(?i)\blorem ipsum\b|(?:^|\W)(?:error|fehler|erreur|http error)\W{0,3}[45]\d\d\b|^(?:.{0,40}\W)?[45]\d\d (?:not found|forbidden|bad gateway|gateway timeout|request timeout|service unavailable|internal server error|too many requests|gone|unauthorized|bad request)\b"
@@ -70,11 +93,24 @@ _CONDITION = re.compile(r"(?i)\W*(?:\w\) )?(?:where|if|when|whenever|should|unle
 _SENTENCE = re.compile(r"[.!?] ")
 
 
-def passages(text: str) -> tuple[list[str], list[re.Match]]:
+class WideMark(NamedTuple):
+    open: str
+    inner: str
+    close: str
+
+
+def passages(text: str) -> tuple[list[str], list[re.Match | WideMark]]:
+    """Passages and marks of a text.  What a wide mark holds is a passage, too, as it may be a whole sentence."""
     form = consistent_form(_LINES.sub(_BREAK, text)) or ""
-    marks = [m for m in _MARK.finditer(form) if m["inner"] or m["bullet"] or m["date"]] if _MAY_HOLD_MARK.search(form) else []
-    for m in marks:
-        form = form.replace(m[0], _BREAK)
+    marks: list[re.Match | WideMark] = []
+    if _MAY_HOLD_MARK.search(form):
+        marks += [m for m in _MARK.finditer(form) if m["inner"] or m["bullet"] or m["date"]]
+        for m in marks:
+            form = form.replace(m[0], _BREAK)
+        for m in _WIDE.finditer(form):
+            k = m.lastgroup.removeprefix("close")
+            if any(c.isalpha() for c in m[f"inner{k}"]):
+                marks.append(WideMark(m[f"open{k}"], m[f"inner{k}"].strip(), m[f"close{k}"]))
     if _REPEATED.search(form):
         form = _REPEATED.sub(lambda m: f"{_BREAK}{m[0]}{_BREAK}", form)
     return [p for p in _CUT.split(form) if p], marks
@@ -87,7 +123,10 @@ def passage_terms(passage: str) -> list[str]:
     return terms
 
 
-def mark_terms(m: re.Match) -> list[str]:
+def mark_terms(m: re.Match | WideMark) -> list[str]:
+    if isinstance(m, WideMark):
+        terms = [f"open {m.open}", f"close {m.close}", "bullet ", "long" if len(m.inner) > LONG_MARK else "short", *sorted({f"holds {c}" for c in m.inner if not c.isalnum() and c != " "})]
+        return terms + [f"in {w}" for w in re.split(r"[\W_]+", m.inner.lower()) if w]
     if m["date"]:
         return ["date"] * 3
     inner = m["inner"] or ""
@@ -96,7 +135,10 @@ def mark_terms(m: re.Match) -> list[str]:
     return terms + ([f"shape {shape}", *[f"in {w}" for w in re.split(r"[\W_]+", inner.lower()) if w]] if inner else [])
 
 
-def _trusted_mark(m: re.Match) -> bool:
+def _trusted_mark(m: re.Match | WideMark) -> bool:
+    if isinstance(m, WideMark):
+        name = len(m.inner) <= LONG_MARK and not re.search(r"[,;]", m.inner)
+        return m.open in _ALWAYS_TEMPLATE or m.open in _TRUSTED_OPEN and name or bool(_ASKS_AT_LENGTH.search(m.inner)) or m.open == "[" and bool(_CHOICE.fullmatch(m.inner))
     inner = m["inner"] or ""
     return bool(m["date"]) or bool(inner) and (m["open"] in _TRUSTED_OPEN or bool(_ASKS.search(inner)) or m["bullet"] in ("•", "●")) or not inner and m["bullet"] in ("•", "●")
 
@@ -124,6 +166,16 @@ def trusted(passage: str) -> bool:
     return bool(_TRUSTED.search(passage)) and not spoken_of(passage)
 
 
+def mark_odds(model: dict[str, float], m: re.Match | WideMark) -> float:
+    """Log odds of a mark, those of a wide one so that MARK_ODDS decides: trusted ones count like trusted passages, others need WIDE_ODDS."""
+    odds = model[""] + sum(model.get(t, 0.0) for t in mark_terms(m))
+    if not isinstance(m, WideMark):
+        return odds
+    if _trusted_mark(m):
+        return max(odds, MARK_ODDS) if odds > TRUSTED_ODDS else odds
+    return odds + MARK_ODDS - WIDE_ODDS
+
+
 def fit(rows: list[tuple[bool, list[str]]]) -> dict[str, float]:
     """Log odds of each term, and of the class at "", from (trusted, terms) rows.
 
@@ -205,7 +257,7 @@ def residue_scores(documents: DataFrame) -> DataFrame:
                     top = max(top, odds)
                 ids.append(doc)
                 best.append(top)
-                best_mark.append(max((mark_model[""] + sum(mark_model.get(t, 0.0) for t in mark_terms(m)) for m in marks), default=None))
+                best_mark.append(max((mark_odds(mark_model, m) for m in marks), default=None))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(best, pa.float64()), pa.array(best_mark, pa.float64())], names=["doc_id", "passage_odds", "mark_odds"])
 
     return texts.mapInArrow(run, "doc_id bigint, passage_odds double, mark_odds double")

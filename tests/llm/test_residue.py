@@ -101,3 +101,35 @@ def test_messages_with_modal_verbs(spark):
     n = len(MESSAGES)
     rows = [*MESSAGES, *[f"The Buyer shall pay the price.\n{m}" for m in MESSAGES], *SPOKEN_OF]
     assert [rows[k] for k in sorted(set(range(2 * n)) ^ _among_clauses(spark, rows))] == []
+
+
+WIDE = [
+    "{{ client-name }}", "{{ party.name | upper }}", "{{#if party}}", "{{ items[0].name }}", "{{_name}}", "{% if party == 'x' %}", "${client-name}", "{client-name}", "<client-name>",
+    "[Insert Licensee's name]", "[Party A/Party B]", "[insert full registered name of the Licensee and address]", "(insert the full registered name of the Licensee and its address)",
+]
+NOT_FILLED_IN = [
+    "[Remainder of this page intentionally left blank, signature page follows]",
+    "[Inserted by the Deed of Variation, dated 5 May 2020]",
+    "[Omitted: commercially sensitive, see Rule 24(b)]",
+    "[1]",
+    '{"unit": "kg", "limit": 5}',
+    '<a href="x.html">',
+    "<john@example.com>",
+    "<https://example.com/a>",
+    '<?xml version="1.0"?>',
+]
+
+
+def test_wide_marks(spark):
+    rows = [f"The Buyer shall pay {x} today." for x in [*WIDE, *NOT_FILLED_IN]]
+    assert [rows[k] for k in sorted(set(range(len(WIDE))) ^ _among_clauses(spark, rows))] == []
+
+
+def test_brackets_hide_no_filler():
+    text = "[Lorem ipsum dolor sit amet, consectetur]"
+    cut, marks = residue.passages(text)
+    assert cut == [text] and [m.inner for m in marks] == [text[1:-1]]
+
+
+def test_unclosed_delimiters_take_no_time():
+    residue.passages("[{{ <% $$a (insert " * 20_000)
