@@ -25,6 +25,8 @@ from .forms import consistent_form
 
 #: Documents of the sample that the models are fitted to, drawn by the hash of doc_id.
 SAMPLE = 20_000
+#: Trusted rows of a kind below which they are sought beyond the sample, in WIDER times as many documents each time, up to all.
+LEAST_TRUSTED, WIDER = 100, 8
 #: One in so many passages of the sample that aren't trusted is used.
 UNLABELLED = 4
 ROUNDS, LEAST_COUNT = 5, 2
@@ -199,9 +201,11 @@ def fit(rows: list[tuple[bool, list[str]]]) -> dict[str, float]:
     return {"": prior} | {w: float(odds[k]) for w, k in ids.items()}
 
 
-def _sampled(texts: DataFrame, documents: int) -> DataFrame:
-    share = min(1.0, SAMPLE / max(1, documents))
-    limit = int(share * (1 << 31))
+_HASHES = 1 << 31
+
+
+def _labelled(texts: DataFrame, low: int, high: int, only_trusted: bool) -> DataFrame:
+    """Rows to fit to, of the documents whose hash of doc_id is in [low, high)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,17 +213,33 @@ def _sampled(texts: DataFrame, documents: int) -> DataFrame:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 cut, marks = passages(text)
                 for k, p in enumerate(cut):
-                    if (t := trusted(p)) or (doc + k) % UNLABELLED == 0:
+                    if (t := trusted(p)) or (not only_trusted and (doc + k) % UNLABELLED == 0):
                         kinds.append(0), sure.append(t), terms.append("\n".join(passage_terms(p)))
                 for m in marks:
-                    kinds.append(1), sure.append(_trusted_mark(m)), terms.append("\n".join(mark_terms(m)))
+                    if (t := _trusted_mark(m)) or not only_trusted:
+                        kinds.append(1), sure.append(t), terms.append("\n".join(mark_terms(m)))
                 # a run of one word is trusted whatever the word
                 for k, p in enumerate(cut):
                     if _REPEATED.fullmatch(p) and len(p.split(" ")) > 4:
                         kinds.append(0), sure.append(True), terms.append("\n".join(passage_terms(p)))
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(sure, pa.bool_()), pa.array(terms, pa.string())], names=["kind", "trusted", "terms"])
 
-    return texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < limit).mapInArrow(run, "kind int, trusted boolean, terms string")
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES))
+    return texts.where((hashed >= low) & (hashed < high)).mapInArrow(run, "kind int, trusted boolean, terms string")
+
+
+def _sampled(texts: DataFrame, documents: int) -> list:
+    """Rows of about SAMPLE documents, and of further ones the trusted rows of a kind that is rare among these."""
+    high = min(_HASHES, max(1, SAMPLE * _HASHES // max(1, documents)))
+    rows = _labelled(texts, 0, high, False).collect()
+    while high < _HASHES:
+        number = Counter(r.kind for r in rows if r.trusted)
+        short = [k for k in (0, 1) if number[k] < LEAST_TRUSTED]
+        if not short:
+            break
+        low, high = high, min(_HASHES, high * WIDER)
+        rows += _labelled(texts, low, high, True).where(F.col("kind").isin(short)).collect()
+    return rows
 
 
 def residue_scores(documents: DataFrame) -> DataFrame:
@@ -228,10 +248,11 @@ def residue_scores(documents: DataFrame) -> DataFrame:
 
     Null, empty and blank texts have no row; doc_id null neither; a doc_id that
     occurs again has one row for each.  The models are fitted on a sample of
-    about SAMPLE documents; every document is scored whole.
+    about SAMPLE documents, and where trusted examples of a kind are rare there,
+    on those of further documents; every document is scored whole.
     """
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = _sampled(texts, documents.count()).collect()
+    rows = _sampled(texts, documents.count())
     models = [fit([(r.trusted, r.terms.split("\n")) for r in rows if r.kind == k]) for k in (0, 1)]
     sent = texts.sparkSession.sparkContext.broadcast(models)
 
