@@ -19,6 +19,9 @@ _CLAUSE = re.compile(r"\([^\W_]{1,4}\)|[ivxlIVXL]{1,5}[.)]$|[a-zA-Z][.)]$|[-•*
 _SENTENCE = re.compile("[.!?…。！？;:][)\\]\"'”’»]*$")
 #: What the last character of a sentence may be.
 _ENDS = frozenset(".!?\u2026\u3002\uff01\uff1f;:)]\"'\u201d\u2019\u00bb")
+#: Longest word, in characters, that split_oversized leaves whole: words of languages and addresses are shorter, so what is
+#: longer has no boundary.
+MAX_CHARS = 2_000
 #: Boundaries from strong to weak: section, paragraph, clause or line, sentence, word.
 SECTION, PARAGRAPH, CLAUSE, SENTENCE, ANY = range(5)
 
@@ -119,14 +122,16 @@ def oversized(chunks: DataFrame, documents: DataFrame, config: DataFrame) -> Dat
 def split_oversized(chunks: DataFrame, documents: DataFrame, config: DataFrame) -> DataFrame:
     """chunk_id, piece (from 0), text, char_start and char_end in the document (null where the chunk's start is), words.
 
-    An overlap that isn't under the limit counts as the limit less one.
+    An overlap that isn't under the limit counts as the limit less one.  A word of
+    more than MAX_CHARS characters is cut in parts of that size, each of which
+    counts as a word.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for chunk, text, start, limit, overlap in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for k, (s, e) in enumerate(pieces(text, max(1, limit), max(0, min(overlap, limit - 1)))):
+                for k, (s, e) in enumerate(pieces(text, max(1, limit), max(0, min(overlap, limit - 1)), MAX_CHARS)):
                     rows.append((chunk, k, text[s:e], None if start is None else start + s, None if start is None else start + e, len(_WORD.findall(text, s, e))))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             types = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())

@@ -52,3 +52,15 @@ def test_very_long_text():
     got = pieces(text, 200, 40)
     assert all(len(text[s:e].split()) <= 200 for s, e in got)
     assert got[0][0] == 0 and got[-1][1] == len(text.rstrip())
+
+
+def test_spark_cuts_words_without_end(spark):
+    text = "a b " + "x" * 50_000 + " c"
+    chunks = spark.createDataFrame([(1, 7, text, 10, "s")], "id bigint, doc_id bigint, text string, char_start int, source string")
+    documents = spark.createDataFrame([(7, "s")], "doc_id bigint, source string")
+    config = spark.createDataFrame([("s", 3, 1, 0)], "source string, max_tokens int, overlap int, capacity int")
+    rows = splitting.split_oversized(chunks, documents, config).orderBy("piece").collect()
+    assert max(len(r.text) for r in rows) <= 6_010
+    assert all(r.text == text[r.char_start - 10 : r.char_end - 10] and r.words <= 3 for r in rows)
+    assert rows[0].char_start == 10 and rows[-1].char_end == 10 + len(text)
+    assert all(b.char_start <= a.char_end for a, b in zip(rows, rows[1:], strict=False))
