@@ -65,3 +65,62 @@ def test_few_vectors(spark):
     assert neighbours.near_pairs(one).count() == 0
     two = spark.createDataFrame([(1, [1.0] * 64), (2, [2.0] * 64), (3, [1.0] * 64)], "chunk_id bigint, vec array<float>")
     assert sorted(map(tuple, neighbours.near_pairs(two).collect())) == [(1, 2), (1, 3), (2, 3)]
+
+
+@pytest.fixture(scope="module")
+def loose():
+    """Vectors in no clusters, with partners at a cosine of about 0.9."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12_000, 64)).astype(np.float32)
+    x[1::40] = x[0::40] + rng.normal(size=(300, 64)) * 0.45
+    return x
+
+
+def test_unclustered_recall(spark, loose):
+    _, order = _exact(loose, 10)
+    got = {}
+    for r in neighbours.nearest(_frame(spark, loose), every=50, cell=200).collect():
+        got.setdefault(r.id, set()).add(r.near)
+    assert np.mean([len(got[q] & set(order[q].tolist())) / 10 for q in got]) >= 0.9
+
+
+def test_unclustered_pairs(spark, loose):
+    s, order = _exact(loose, 10)
+    want = {(min(a, b), max(a, b)) for a in range(len(loose)) for b in order[a].tolist() if s[a, b] >= 0.9}
+    got = {tuple(r) for r in neighbours.near_pairs(_frame(spark, loose)).collect()}
+    assert len(want) > 100 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def _wanted(x, order):
+    return {(q, n) for q in range(0, len(x), 50) for n in order[q].tolist()}
+
+
+@pytest.mark.parametrize("least", [None, 0.9])
+def test_exact_way_loses_nothing(spark, data, monkeypatch, least):
+    monkeypatch.setattr(neighbours, "BLOCK", 400)
+    s, order = _exact(data, 10)
+    want = {(q, n) for q, n in _wanted(data, order) if least is None or s[q, n] >= least}
+    got = {(r.id, r.near) for r in neighbours.nearest(_frame(spark, data), least=least, every=50, exact=True).collect()}
+    assert got == want
+
+
+def test_two_levels_and_blocks(spark, data, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_COARSE", 5)
+    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    s, order = _exact(data, 10)
+    want = {(min(a, b), max(a, b)) for a in range(len(data)) for b in order[a].tolist() if s[a, b] >= 0.9}
+    near = neighbours.nearest(_frame(spark, data), 10, 0.9, cell=30)
+    got = {(min(r.id, r.near), max(r.id, r.near)) for r in near.collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+    got = {(r.id, r.near) for r in neighbours.nearest(_frame(spark, data), every=50, cell=30).collect()}
+    want = _wanted(data, order)
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_a_copy_that_asks_after_one_that_does_not(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 64)).astype(np.float32)
+    x[50] = x[49]
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "chunk_id bigint, vec array<float>").coalesce(1)
+    got = {r.id: r.near for r in neighbours.nearest(frame, 1, every=50).collect()}
+    assert set(got) == {0, 50, 100, 150} and got[50] == 49
