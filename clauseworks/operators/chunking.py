@@ -17,6 +17,10 @@ _CLAUSE = regex.compile(CLAUSE_LINE)
 #: What a clause line begins with, at least.
 _LIKELY = re.compile(r"[0-9(]|[A-Za-z]{1,5}\.\s|(?:section|article)\s", re.IGNORECASE)
 _WORD = re.compile(f"[^{BREAKS}{SPACES}]+")
+#: What split() takes for white space besides.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_BLANK = frozenset("\n\x0b\x0c\r\x85\u2028\u2029\t \xa0\u1680\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
+_STRIPPED = "".join(_BLANK)
 #: Places of the tokens of a text.
 Tokenizer = Callable[[str], list[tuple[int, int]]]
 
@@ -37,19 +41,24 @@ def word_tokens(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _WORD.finditer(text)]
 
 
+def word_count(text: str) -> int:
+    """len(word_tokens(text)), without the places."""
+    return len(text.split()) if text.isascii() and not _SEPARATORS.search(text) else len(_WORD.findall(text))
+
+
 def split_units(text: str) -> list[tuple[int, int]]:
     """Places of the units of a normalised text: paragraphs, cut before every clause line, without blank ends; blank ones dropped."""
     units: list[tuple[int, int]] = []
     start: int | None = None
     end = at = 0
     for line in text.split("\n"):
-        blank = not line.strip(BREAKS + SPACES)
+        blank = not line or line[0] in _BLANK and not line.strip(_STRIPPED)
         if start is not None and (blank or _LIKELY.match(line) and _CLAUSE.match(line)):
             units.append((start, end))
             start = None
         if not blank:
             start = at if start is None else start
-            end = at + len(line.rstrip(BREAKS + SPACES))
+            end = at + len(line if line[-1] not in _BLANK else line.rstrip(_STRIPPED))
         at += len(line) + 1
     if start is not None:
         units.append((start, end))
@@ -70,15 +79,18 @@ def chunk_text(text: str, config: ChunkConfig = ChunkConfig(), tokens: Tokenizer
     """Places of chunks: units packed as far as their own token counts add up to max_tokens; a longer unit is cut into windows by itself."""
     out: list[tuple[int, int]] = []
     start, end, held = 0, 0, 0
+    count = word_count if tokens is word_tokens else lambda t: len(tokens(t))
     for a, b in split_units(text):
-        own = tokens(text[a:b])
-        if held and held + len(own) > config.max_tokens:
+        unit = text[a:b]
+        n = count(unit)
+        if held and held + n > config.max_tokens:
             out.append((start, end))
             held = 0
-        if len(own) > config.max_tokens:
-            out += [(a + own[s][0], a + own[e - 1][1]) for s, e in windows(len(own), config.max_tokens, config.overlap)]
-        elif own:
-            start, end, held = (start if held else a), b, held + len(own)
+        if n > config.max_tokens:
+            own = tokens(unit)
+            out += [(a + own[s][0], a + own[e - 1][1]) for s, e in windows(n, config.max_tokens, config.overlap)]
+        elif n:
+            start, end, held = (start if held else a), b, held + n
     if held:
         out.append((start, end))
     return out
@@ -89,16 +101,21 @@ def chunk_documents(documents: DataFrame, config: ChunkConfig = ChunkConfig(), t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, n, t[s:e], s, e) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for n, (s, e) in enumerate(chunk_text(t, config, tokens))]
+            rows = [(k, n, t[s:e], s, e) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for n, (s, e) in enumerate(chunk_text(t, config, tokens))]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[key, "ord", "text", "char_start", "char_end"])
 
-    return documents.where("text is not null").select(F.col(key).cast("bigint").alias(key), "text").mapInArrow(run, f"{key} bigint, ord int, text string, char_start int, char_end int")
+    # not filtered by text here: on a computed column the filter would be pushed down as all of its expression
+    return documents.select(F.col(key).cast("bigint").alias(key), "text").mapInArrow(run, f"{key} bigint, ord int, text string, char_start int, char_end int")
 
 
-#: The same for normalised text as a whole, where white space is a space or a line break.
-_CLAUSE_IN_TEXT = "(?m)" + CLAUSE_LINE.replace(r"[^\p{Ll}\s]", r"[^\p{Ll} \n]").replace(r"[^\s\p{L}]", r"[^ \n\p{L}]").replace(r"\s", " ")
+#: A break before a clause line of normalised text, where white space is a space or a break; what may follow to the line's end is left out.
+_BEFORE_CLAUSE = (
+    r"(?m)\n(?=[0-9(SsAa]|[A-Za-z]{1,5}\.)(?="
+    + CLAUSE_LINE[1:].replace(r"\s[^\p{Ll}\s].*$", r"\s[^\p{Ll}\s]").replace(r"(\s.*)?$", "(?: |$)").replace(r"\s.*", r"\s").replace(r"[^\p{Ll}\s].*$", r"[^\p{Ll}\s]").replace(r"[^\p{Ll}\s]", r"[^\p{Ll} \n]").replace(r"[^\s\p{L}]", r"[^ \n\p{L}]").replace(r"\s", " ")
+    + ")"
+)
 _MARK = "\x1e"
 
 
@@ -108,9 +125,9 @@ def units(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     A mark is put before every clause line and texts are split at marks and blank
     lines, so no line becomes a row and nothing is shuffled.
     """
-    marked = F.regexp_replace(F.replace("text", F.lit(_MARK), F.lit(" ")), _CLAUSE_IN_TEXT, _MARK + "$0")
+    marked = F.regexp_replace(F.replace("text", F.lit(_MARK), F.lit(" ")), _BEFORE_CLAUSE, _MARK)
     parts = F.transform(F.split(marked, f"\n\n|{_MARK}"), lambda u: F.regexp_replace(u, f"[{BREAKS}{SPACES}]+$", ""))
-    return documents.where("text is not null").select(key, F.posexplode(F.filter(parts, lambda u: u != "")).alias("unit", "text"))
+    return documents.select(key, F.posexplode(F.filter(parts, lambda u: u != "")).alias("unit", "text"))
 
 
 def word_windows(documents: DataFrame, limits: DataFrame | None = None, size: int = 200, overlap: int = 40, key: str = "doc_id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import chunking, evaluation, retrieval, tables
-from ..session import spread
+from ..session import checkpointed, spread
 
 KAPPAS = (1, 5, 20, 60)
 PAIRS = [("semantic", "bm25"), ("hybrid", "bm25"), ("hybrid", "semantic")]
@@ -177,25 +177,33 @@ def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.semantic(_t(spark, d, "vectors"), _queries(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"), _long("rank"))
 
 
-def _rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The full rankings by words and by vectors."""
-    words = retrieval.ranked(retrieval.bm25(_t(spark, d, "chunks"), _queries(spark, d)))
-    return words, retrieval.semantic(_t(spark, d, "vectors"), _queries(spark, d), 1 << 60)
+def _asked_vectors(spark: SparkSession, d: str) -> list[tuple[str, list[float]]]:
+    return [(r.query_id, r.vec) for r in _queries(spark, d).select("query_id", "vec").collect() if r.vec is not None and len(r.vec) == 64]
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(_t(spark, d, "chunks"), _queries(spark, d))
+
+
+def _both(spark: SparkSession, d: str, words: DataFrame, depth: int, kappa: float) -> list[DataFrame]:
+    """Places by words and by vectors of what can be among the first depth of the fusion."""
+    return retrieval.rankings_for_fusion(words, _t(spark, d, "vectors"), _asked_vectors(spark, d), depth, kappa)
 
 
 def hybrid_kappa_5(spark: SparkSession, d: str) -> DataFrame:
-    return _top(retrieval.fused(list(_rankings(spark, d)), 5))
+    return _top(retrieval.fused(_both(spark, d, _words(spark, d), 10, 5), 5))
 
 
 def hybrid_kappa_60(spark: SparkSession, d: str) -> DataFrame:
-    return _top(retrieval.fused(list(_rankings(spark, d)), 60))
+    return _top(retrieval.fused(_both(spark, d, _words(spark, d), 10, 60), 60))
 
 
 def _run(spark: SparkSession, d: str, depth: int = 1000) -> DataFrame:
     """method, query_id, id, score, rank of three methods, cut at a depth."""
-    words, near = (r.persist() for r in _rankings(spark, d))  # each is read as it is and by the fusion
-    both = retrieval.ranked(retrieval.fused([words, near]))
-    rows = [x.where(F.col("rank") <= depth).select(F.lit(m).alias("method"), "query_id", "id", "score", "rank") for m, x in (("bm25", words), ("semantic", near), ("hybrid", both))]
+    words = checkpointed(_words(spark, d))
+    near = retrieval.semantic(_t(spark, d, "vectors"), _queries(spark, d), depth)
+    both = retrieval.ranked(retrieval.fused(_both(spark, d, words, depth, retrieval.KAPPA)), depth)
+    rows = [x.select(F.lit(m).alias("method"), "query_id", "id", "score", "rank") for m, x in (("bm25", retrieval.ranked(words, depth)), ("semantic", near), ("hybrid", both))]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
@@ -245,7 +253,7 @@ def signed_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _kappa_scores(spark: SparkSession, d: str) -> DataFrame:
-    run = retrieval.ranked(retrieval.fused_for(list(_rankings(spark, d)), KAPPAS), 10, ("method", "query_id"))
+    run = retrieval.ranked(retrieval.fused_for(_both(spark, d, _words(spark, d), 10, max(KAPPAS)), KAPPAS), 10, ("method", "query_id"))
     position = F.create_map(*(F.lit(x) for n, k in enumerate(KAPPAS) for x in (f"kappa {k}", n)))
     return evaluation.metrics(run, _qrels(spark, d), _t(spark, d, "queries")).select(F.col("method").alias("setting"), position[F.col("method")].alias("position"), "query_id", "ndcg")
 
@@ -260,7 +268,8 @@ def kappa_votes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_lines(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.run_lines(_run(spark, d, 10).where("method = 'bm25'").withColumn("score", F.round("score", 6)))
+    """All three methods at depth 1000, as run files hold them."""
+    return evaluation.run_lines(_run(spark, d).withColumn("score", F.round(F.col("score") + 1e-10, 6)))
 
 
 def qrel_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions.embedding import embed_query
 from ..functions.stats import nearest_rank, wilcoxon_p
 from ..functions.vectors import search, top
 from ..operators import evaluation, retrieval
+from ..session import checkpointed
 from ..sources.records import read_queries, read_spans
 from ..sources.sinks import write_qrels, write_run, write_scores, write_timing
 from .index import Index
@@ -31,13 +32,14 @@ class Outcome:
 
 
 def evaluate(spark: SparkSession, index: Index, queries: DataFrame, spans: DataFrame, kappa: float = retrieval.KAPPA, stems: bool = True) -> Outcome:
-    """Full rankings of all queries at once, fused, cut at DEPTH, judged and scored."""
+    """Rankings of all queries at once and their fusion, to DEPTH, judged and scored."""
     asked = queries.withColumnRenamed("id", "query_id")
     texts = [(r.query_id, embed_query(index.embedder, r.text).tolist()) for r in asked.select("query_id", "text").collect()]
-    words = retrieval.ranked(retrieval.bm25_parsed(index.chunks, [(r.query_id, r.text) for r in asked.select("query_id", "text").collect()], stems=stems))
-    near = top(search(index.vectors, texts, 1 << 60, "id", "vec", index.embedder.model.dim), 1 << 60)
-    both = retrieval.ranked(retrieval.fused([words, near], kappa))
-    parts = [x.where(F.col("rank") <= DEPTH).select(F.lit(m).alias("method"), "query_id", "id", "score", "rank") for m, x in (("bm25", words), ("semantic", near), ("hybrid", both))]
+    words = checkpointed(retrieval.bm25_parsed(index.chunks, [(r.query_id, r.text) for r in asked.select("query_id", "text").collect()], stems=stems))
+    dim = index.embedder.model.dim
+    near = top(search(index.vectors, texts, DEPTH, "id", "vec", dim), DEPTH)
+    both = retrieval.ranked(retrieval.fused(retrieval.rankings_for_fusion(words, index.vectors, texts, DEPTH, kappa, "id", "vec", dim), kappa), DEPTH)
+    parts = [x.select(F.lit(m).alias("method"), "query_id", "id", "score", "rank") for m, x in (("bm25", retrieval.ranked(words, DEPTH)), ("semantic", near), ("hybrid", both))]
     run = parts[0].unionByName(parts[1]).unionByName(parts[2])
     documents = index.documents.withColumnRenamed("id", "doc_id")
     with_ids = spans if "span_id" in spans.columns else spans.withColumn("span_id", F.concat_ws("|", "category", "file", "char_start", "char_end"))

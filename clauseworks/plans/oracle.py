@@ -190,7 +190,7 @@ SELECT w.method_a, w.method_b, count(d) AS n, coalesce(sum(CASE WHEN d > 0 THEN
 FROM wanted w LEFT JOIN shared s ON s.method_a = w.method_a AND s.method_b = w.method_b GROUP BY 1, 2""",
         "kappa_by_fold": f"{_kappa()} SELECT * FROM chosen",
         "kappa_votes": f"{_kappa()} SELECT setting, count(*) AS folds FROM chosen GROUP BY 1",
-        "run_lines": f"WITH {_bm25('chunks', 'id')}, {_ranked('words', 'r')} SELECT printf('%s Q0 %d %d %.9f bm25', query_id, id, rank, round(score, 6)) AS line FROM r WHERE rank <= 10",
+        "run_lines": f"WITH {_BOTH}, {_fused(5, 'fusion')}, {_ranked('fusion', 'rb')}, run AS ({_METHODS.replace('id, rank', 'id, score, rank')}) SELECT printf('%s Q0 %d %d %.9f %s', query_id, id, rank, round(score + 1e-10, 6), method) AS line FROM run",
         "qrel_lines": f"WITH {_QRELS} SELECT printf('%s 0 %d 1', query_id, chunk_id) AS line FROM qrels",
         "latency_by_type": "SELECT event_type, count(*) AS n, round(median(value), 6) AS median, round(quantile_disc(value, 0.95), 6) AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1",
         "kept_categories": f"""WITH valid AS ({_SPANS}), files AS (SELECT count(DISTINCT trim(file)) AS files FROM docs WHERE trim(file) <> '')
