@@ -2,10 +2,12 @@
 
 A text is cut into passages (lines, sentences, runs of one repeated word) and
 marks (a few words or a bullet between brackets or other delimiters).  Each kind
-has its model.  Passages and marks that a short list of patterns trusts are the
-positive examples, all others are unlabelled; expectation-maximisation gives the
-unlabelled ones their share of the positive class.  A record is residue if any
-of its passages or marks is.
+has its model: of passages words and pairs of neighbouring words are terms, of
+marks delimiters, shape and words.  Passages and marks that a short list of
+patterns trusts are the positive examples, all others are unlabelled;
+expectation-maximisation gives the unlabelled ones their share of the positive
+class.  The patterns only label: what counts is decided by the learnt odds alone.
+A record is residue if any of its passages or marks is.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from math import log
 from typing import NamedTuple
 
@@ -23,24 +26,26 @@ from pyspark.sql import functions as F
 
 from .forms import consistent_form
 
-#: Documents of the sample that the models are fitted to, drawn by the hash of doc_id.
-SAMPLE = 20_000
+#: Documents, drawn by the hash of doc_id, whose passages and marks are all used, and whose trusted ones are.
+SAMPLE, TRUSTED_SAMPLE = 5_000, 20_000
 #: Trusted rows of a kind below which they are sought beyond the sample, in WIDER times as many documents each time, up to all.
 LEAST_TRUSTED, WIDER = 100, 8
-#: One in so many passages of the sample that aren't trusted is used.
-UNLABELLED = 4
 ROUNDS, LEAST_COUNT = 5, 2
-#: Most weight of an unlabelled example in the positive class, and least in the other: what is merely unusual can't form a class of its own.
-MOST_POSITIVE, LEAST_NEGATIVE = 0.003, 0.5
-#: Weight of the terms' overall shares in the share of a class, in terms.
-SMOOTH = 300.0
+
+
+class Weights(NamedTuple):
+    """Most weight of an unlabelled example in the positive class, least in the other, and weight of the terms' overall shares, in terms."""
+
+    positive: float
+    negative: float
+    smooth: float
+
+
+#: Unlabelled examples weigh little in the positive class, so that what is merely unusual can't form a class of its own.
+PASSAGES, MARKS = Weights(0.003, 0.5, 300.0), Weights(0.03, 0.5, 30.0)
 #: Log odds from which a passage or a mark counts, and the mean of a passage's terms from which it does: ordinary
 #: wording that happens to share some words with a message mixes terms of either sign.
-PASSAGE_ODDS, MARK_ODDS, TERM_ODDS = 1.0, -2.0, 3.0
-#: Log odds from which a trusted passage counts as one with PASSAGE_ODDS, a trusted wide mark as one with MARK_ODDS.
-TRUSTED_ODDS = -8.0
-#: Log odds from which other wide marks count: whole sentences stand in brackets, too.
-WIDE_ODDS = 1.0
+PASSAGE_ODDS, MARK_ODDS, TERM_ODDS = 1.0, 0.0, 3.0
 
 _BREAK = "␞"
 _LINES = re.compile("\r\n?|[\n\x0b\x0c\x85  ]")
@@ -168,32 +173,34 @@ def trusted(passage: str) -> bool:
     return bool(_TRUSTED.search(passage)) and not spoken_of(passage)
 
 
-def mark_odds(model: dict[str, float], m: re.Match | WideMark) -> float:
-    """Log odds of a mark, those of a wide one so that MARK_ODDS decides: trusted ones count like trusted passages, others need WIDE_ODDS."""
-    odds = model[""] + sum(model.get(t, 0.0) for t in mark_terms(m))
-    if not isinstance(m, WideMark):
-        return odds
-    if _trusted_mark(m):
-        return max(odds, MARK_ODDS) if odds > TRUSTED_ODDS else odds
-    return odds + MARK_ODDS - WIDE_ODDS
+def with_pairs(terms: list[str]) -> list[str]:
+    """Terms and pairs of neighbours, the ends among them."""
+    return terms + [f"{x} {y}" for x, y in zip(["^", *terms], [*terms, "$"], strict=True)]
 
 
-def fit(rows: list[tuple[bool, list[str]]]) -> dict[str, float]:
+def fit(rows: list[tuple[bool, list[str]]], weights: Weights) -> dict[str, float]:
     """Log odds of each term, and of the class at "", from (trusted, terms) rows.
 
     No trusted row gives no term and odds that nothing reaches.
     """
     if not any(t for t, _ in rows):
         return {"": -1e9}
-    number = Counter(w for _, terms in rows for w in terms)
-    ids = {w: k for k, w in enumerate(w for w, n in number.items() if n >= LEAST_COUNT)}
-    at = np.array([k for k, (_, terms) in enumerate(rows) for w in terms if w in ids], np.int64)
-    term = np.array([ids[w] for _, terms in rows for w in terms if w in ids], np.int64)
+    number = Counter(chain.from_iterable(terms for _, terms in rows))
+    # what stands in one example only tells nothing, unless that is a trusted one
+    sure = {w for t, terms in rows if t for w in terms}
+    ids = {w: k for k, w in enumerate(w for w, n in number.items() if n >= LEAST_COUNT or w in sure)}
+    get = ids.get
+    lengths = np.array([len(terms) for _, terms in rows])
+    term = np.fromiter((get(w, -1) for _, terms in rows for w in terms), np.int32, int(lengths.sum()))
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)[term >= 0]
+    term = term[term >= 0]
     overall = np.bincount(term, minlength=len(ids)) / max(1, len(term))
     trusted = np.array([t for t, _ in rows])
     share = trusted.astype(float)
+    # few trusted terms are not to be drowned by the overall shares
+    smooth = min(weights.smooth, float(lengths[trusted].sum()))
     for _ in range(ROUNDS):
-        pos, neg = (np.bincount(term, x[at], len(ids)) + SMOOTH * overall for x in (np.where(trusted, 1.0, MOST_POSITIVE * share), np.where(trusted, 0.0, 1 - (1 - LEAST_NEGATIVE) * share)))
+        pos, neg = (np.bincount(term, x[at], len(ids)) + smooth * overall for x in (np.where(trusted, 1.0, weights.positive * share), np.where(trusted, 0.0, 1 - (1 - weights.negative) * share)))
         odds = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
         prior = log((share.sum() + 1) / (len(rows) - share.sum() + 1))
         score = prior + np.bincount(at, odds[term], len(rows))
@@ -201,6 +208,36 @@ def fit(rows: list[tuple[bool, list[str]]]) -> dict[str, float]:
     return {"": prior} | {w: float(odds[k]) for w, k in ids.items()}
 
 
+class PassageModel:
+    """Learnt odds of words and pairs, and for each word a bound of what it and the pair it begins can add."""
+
+    def __init__(self, odds: dict[str, float]) -> None:
+        self.odds = odds
+        self.most = {w: x for w, x in odds.items() if w and " " not in w}
+        begins: dict[str, float] = {}
+        for pair, x in odds.items():
+            if " " in pair:
+                word = pair.split(" ", 1)[0]
+                begins[word] = max(begins.get(word, 0.0), x)
+        for word, x in begins.items():
+            self.most[word] = self.most.get(word, 0.0) + x
+
+    def score(self, passage: str) -> float | None:
+        """Log odds of a passage that counts; None for one that doesn't, most of them by the bound alone."""
+        terms = passage_terms(passage)
+        get, prior = self.most.get, self.odds[""]
+        least = max(PASSAGE_ODDS - prior, TERM_ODDS * (2 * len(terms) + 1))
+        if get("^", 0.0) + sum([get(t, 0.0) for t in terms]) < least:
+            return None
+        get = self.odds.get
+        own = sum([get(t, 0.0) for t in with_pairs(terms)])
+        return prior + own if own >= least else None
+
+
+def mark_odds(model: dict[str, float], m: re.Match | WideMark) -> float:
+    return model[""] + sum(model.get(t, 0.0) for t in mark_terms(m))
+
+
 _HASHES = 1 << 31
 
 
@@ -212,14 +249,14 @@ def _labelled(texts: DataFrame, low: int, high: int, only_trusted: bool) -> Data
             kinds, sure, terms = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 cut, marks = passages(text)
-                for k, p in enumerate(cut):
-                    if (t := trusted(p)) or (not only_trusted and (doc + k) % UNLABELLED == 0):
+                for p in cut:
+                    if (t := trusted(p)) or not only_trusted:
                         kinds.append(0), sure.append(t), terms.append("\n".join(passage_terms(p)))
                 for m in marks:
                     if (t := _trusted_mark(m)) or not only_trusted:
                         kinds.append(1), sure.append(t), terms.append("\n".join(mark_terms(m)))
                 # a run of one word is trusted whatever the word
-                for k, p in enumerate(cut):
+                for p in cut:
                     if _REPEATED.fullmatch(p) and len(p.split(" ")) > 4:
                         kinds.append(0), sure.append(True), terms.append("\n".join(passage_terms(p)))
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(sure, pa.bool_()), pa.array(terms, pa.string())], names=["kind", "trusted", "terms"])
@@ -229,9 +266,11 @@ def _labelled(texts: DataFrame, low: int, high: int, only_trusted: bool) -> Data
 
 
 def _sampled(texts: DataFrame, documents: int) -> list:
-    """Rows of about SAMPLE documents, and of further ones the trusted rows of a kind that is rare among these."""
-    high = min(_HASHES, max(1, SAMPLE * _HASHES // max(1, documents)))
+    """Rows of about SAMPLE documents, the trusted ones of TRUSTED_SAMPLE, and of further documents those of a kind that is rare among these."""
+    high, far = (min(_HASHES, max(1, n * _HASHES // max(1, documents))) for n in (SAMPLE, TRUSTED_SAMPLE))
     rows = _labelled(texts, 0, high, False).collect()
+    rows += _labelled(texts, high, far, True).collect() if far > high else []
+    high = far
     while high < _HASHES:
         number = Counter(r.kind for r in rows if r.trusted)
         short = [k for k in (0, 1) if number[k] < LEAST_TRUSTED]
@@ -243,41 +282,31 @@ def _sampled(texts: DataFrame, documents: int) -> list:
 
 
 def residue_scores(documents: DataFrame) -> DataFrame:
-    """doc_id, passage_odds and mark_odds (the highest of each, null without any;
-    passages below TERM_ODDS a term and such as speak of these things are left out) of every document with text.
+    """doc_id, passage_odds and mark_odds (the highest of each, of passages that count only; null without any) of every document with text.
 
-    Null, empty and blank texts have no row; doc_id null neither; a doc_id that
-    occurs again has one row for each.  The models are fitted on a sample of
-    about SAMPLE documents, and where trusted examples of a kind are rare there,
-    on those of further documents; every document is scored whole.
+    A passage counts from PASSAGE_ODDS and a mean of TERM_ODDS a term.  Null,
+    empty and blank texts have no row; doc_id null neither; a doc_id that occurs
+    again has one row for each.  The models are fitted on samples of about SAMPLE
+    and TRUSTED_SAMPLE documents, and where trusted examples of a kind are rare
+    there, on those of further documents; every document is scored whole.
     """
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = _sampled(texts, documents.count())
-    models = [fit([(r.trusted, r.terms.split("\n")) for r in rows if r.kind == k]) for k in (0, 1)]
+    split = ([(r.trusted, r.terms.split("\n")) for r in rows if r.kind == k] for k in (0, 1))
+    models = PassageModel(fit([(t, with_pairs(x)) for t, x in next(split)], PASSAGES)), fit(next(split), MARKS)
+    del rows
     sent = texts.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passage_model, mark_model = sent.value
-        get, prior = passage_model.get, passage_model[""]
         for b in batches:
             ids, best, best_mark = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 cut, marks = passages(text)
                 if not cut and not marks:
                     continue
-                top = -1e9
-                for p in cut:
-                    terms = passage_terms(p)
-                    own = sum([get(t, 0.0) for t in terms])
-                    odds = prior + own
-                    if odds < PASSAGE_ODDS:
-                        if odds > TRUSTED_ODDS and trusted(p):
-                            odds = PASSAGE_ODDS
-                    elif (own < TERM_ODDS * len(terms) and not trusted(p)) or spoken_of(p):
-                        continue
-                    top = max(top, odds)
                 ids.append(doc)
-                best.append(top)
+                best.append(max((x for p in cut if (x := passage_model.score(p)) is not None), default=None))
                 best_mark.append(max((mark_odds(mark_model, m) for m in marks), default=None))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(best, pa.float64()), pa.array(best_mark, pa.float64())], names=["doc_id", "passage_odds", "mark_odds"])
 

@@ -137,6 +137,7 @@ def test_unclosed_delimiters_take_no_time():
 
 def test_rare_residue_outside_the_sample(spark, monkeypatch):
     monkeypatch.setattr(residue, "SAMPLE", 20)
+    monkeypatch.setattr(residue, "TRUSTED_SAMPLE", 20)
     clauses = [f"The Buyer shall deliver {k} goods. The Seller may inspect them within {k % 90} days." for k in range(2_000)]
     rare = {5_001: CASES[0], 5_002: CASES[4], 5_003: CASES[7]}
     df = spark.createDataFrame([*enumerate(clauses), *rare.items()], "doc_id bigint, text string")
