@@ -1,10 +1,10 @@
 """Near-duplicate texts: a byte-position inverted index with count filtering, then verification.
 
-A text is the set of its word trigrams.  The hash of a trigram names a position
-(its upper bits) and the byte that stands there (its lowest eight); a text is a
-sparse string of bytes at positions, and two texts share as many positional
-bytes as they share trigrams, or a few more by collision, which verification
-settles.
+A text is the set of its word trigrams.  The hash of a trigram, 40 bits, names a
+position (its upper 32 bits) and the byte that stands there (its lowest eight); a
+text is a sparse string of bytes at positions, and two texts share as many
+positional bytes as they share trigrams, or, once in some 10^9 comparisons, one more by collision.
+The key of the index is a position with its byte.
 
 With texts of a and b trigrams at Jaccard similarity t, at least t * max(a, b)
 are shared.  So if all texts order their positions alike, the first
@@ -40,10 +40,14 @@ COUNTERS, SLICES = 1 << 21, 8
 #: Bits of a text's signature.
 SIGNATURE = 256
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-#: Bits of a trigram's hash: a position of 44 and the byte there.
-BITS = 52
-#: Texts taken at a time, entries of a bucket of the index, and entries of one key that are paired as one block.
-BATCH, BUCKET, HOT = 4096, 1_200_000, 1500
+#: Bits of a trigram's hash: a position of 32 and the byte there.
+BITS = 40
+#: Texts taken at a time, and entries of a bucket of the index.
+BATCH, BUCKET = 4096, 1_200_000
+#: Entries of one key that are paired in the task of their bucket, and entries that task holds before it passes such keys on.
+HOT, MOST_HELD = 4000, 3 * BUCKET
+#: Tasks whose sketches are added up in one.
+FAN_IN = 64
 
 
 class _WordHashes(dict):
@@ -95,8 +99,8 @@ def set_hash(hashes: np.ndarray, text: str) -> int:
 
 
 def least_shared(n: int, threshold: float) -> int:
-    """The guaranteed minimum of shared positional bytes that is asked of a text of n."""
-    return 1 if n < 12 else 2 if n < 60 else 3
+    """The guaranteed minimum of shared positional bytes that is asked of a text of n: what the threshold asks for, at most 1 to 3."""
+    return min(1 if n < 12 else 2 if n < 60 else 3, max(1, math.ceil(threshold * n - 1e-9)))
 
 
 def prefix(n: int, threshold: float) -> int:
@@ -133,15 +137,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sketch(rows: DataFrame) -> np.ndarray:
     """The sum of all tasks' sketches: COUNTERS numbers, whatever the data."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch], out: str, of: str = "u1") -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(counts, np.uint8).astype(np.uint32)
+                own = np.frombuffer(counts, of).astype(np.uint64)
                 total[k] = total[k] + own if k in total else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([np.minimum(x, 65535).astype("<u2").tobytes() for x in total.values()], pa.binary())], names=["class", "counts"])
-
-    slices = rows.where("counts is not null").select("class", "counts").repartition(SLICES, "class").mapInArrow(add, "class bigint, counts binary").collect()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([np.minimum(x, np.iinfo(out).max).astype(out).tobytes() for x in total.values()], pa.binary())], names=["class", "counts"])
+
+    # in a tree: no task adds up more than FAN_IN sketches at first
+    groups = -(-rows.rdd.getNumPartitions() // FAN_IN)
+    parts = rows.where("counts is not null").select("class", "counts", F.pmod(F.spark_partition_id(), F.lit(groups)).alias("part"))
+    if groups > 1:
+        parts = parts.repartition(SLICES * groups, "class", "part").mapInArrow(lambda x: add(x, "<u4"), "class bigint, counts binary")
+        slices = parts.repartition(SLICES, "class").mapInArrow(lambda x: add(x, "<u2", "<u4"), "class bigint, counts binary").collect()
+    else:
+        slices = parts.repartition(SLICES, "class").mapInArrow(lambda x: add(x, "<u2"), "class bigint, counts binary").collect()
     out = np.zeros((SLICES, COUNTERS // SLICES), np.uint16)
     for r in slices:
         out[r["class"]] = np.frombuffer(r.counts, "<u2")
@@ -175,15 +186,14 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return keys, plain(8 + 5 * n, n), plain(8 + 9 * n, n), np.frombuffer(blob, np.int64, m, at), plain(at + 8 * m, m), np.frombuffer(blob, np.uint64, 4 * m, at + 12 * m).reshape(m, 4)
 
 
-def _joined(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    parts = [_unpack(b) for b in blobs]
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     first = np.cumsum([0, *(len(p[3]) for p in parts)])
     keys, places, rows, classes, sizes, signs = zip(*parts, strict=True)
     return tuple(map(np.concatenate, (keys, places, [r + f for r, f in zip(rows, first[:-1], strict=True)], classes, sizes, signs)))
 
 
 def _entries(texts: DataFrame, sketch: np.ndarray, threshold: float, n: int, buckets: int) -> DataFrame:
-    """bucket and entries of the index, packed: key (position and byte, 40 bits of both), place in the text's order, and the text.
+    """bucket and entries of the index, packed: key (position and byte), place in the text's order, and the text.
 
     A task writes a class once, however many copies it reads.
     """
@@ -192,7 +202,7 @@ def _entries(texts: DataFrame, sketch: np.ndarray, threshold: float, n: int, buc
     def flush(parts: list[tuple[np.ndarray, ...]], held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         keys, places, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
         texts = [np.concatenate(x) for x in zip(*held, strict=True)]
-        bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        bucket = (keys * _MULTIPLIERS[1] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         found, at = np.unique(bucket[order], return_index=True)
         pieces = [np.split(c[order], at[1:]) for c in (keys, places, rows)]
@@ -219,7 +229,7 @@ def _entries(texts: DataFrame, sketch: np.ndarray, threshold: float, n: int, buc
             order = np.argsort(text << np.uint64(52) | often << np.uint64(32) | hashes * _MULTIPLIERS[0] >> np.uint64(32))
             places = np.arange(len(hashes)) - np.repeat(ends[:-1], sizes)
             keep = places < np.repeat(take, sizes)
-            parts.append((hashes[order][keep] >> np.uint64(BITS - 40), places[keep], text[keep].astype(np.int64) + first))
+            parts.append((hashes[order][keep], places[keep], text[keep].astype(np.int64) + first))
             held.append((classes, sizes, signatures(hashes, ends)))
             first += len(texts)
             if first > 8 * BATCH:
@@ -238,7 +248,7 @@ def _pairs(threshold: float, entries: tuple[np.ndarray, ...], left: np.ndarray,
     needed = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
     within = np.minimum(places[left], places[right]) + np.minimum(a - places[left], b - places[right])
     small = np.minimum(a, b)
-    asked = 1 + (small >= 12) + (small >= 60)
+    asked = np.minimum(1 + (small >= 12) + (small >= 60), needed)
     # of two similar texts, the first m shared bytes stand among the first a - needed + m and b - needed + m
     early = (places[left] < a - needed + asked) & (places[right] < b - needed + asked)
     keep = np.flatnonzero(early & (within >= needed) & (small >= needed))
@@ -255,67 +265,151 @@ def _tallied(pairs: list[np.ndarray]) -> pa.RecordBatch:
     new = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])) if len(rows) else np.empty(0, np.int64)
     shared = np.diff(np.concatenate([new, [len(rows)]])) if len(rows) else new
     rows = rows[new]
-    blank = pa.nulls(len(rows), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(shared.astype(np.int32)), pa.array(rows[:, 2].astype(np.int32)), blank, blank], names=_TALLY)
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(shared.astype(np.int32)), pa.array(rows[:, 2].astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=_TALLY)
+
+
+def _block(key: int, number: int, entries: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    none = pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32())
+    return pa.RecordBatch.from_arrays([*none, pa.array([key], pa.int64()), pa.array([number], pa.int32()), pa.array([_pack(*entries)], pa.binary())], names=_TALLY)
 
 
-_TALLY = ["class_a", "class_b", "shared", "asked", "left", "right"]
-_TALLY_TYPE = "class_a bigint, class_b bigint, shared int, asked int, left binary, right binary"
+_TALLY = ["class_a", "class_b", "shared", "asked", "key", "block", "entries"]
+_TALLY_TYPE = "class_a bigint, class_b bigint, shared int, asked int, key bigint, block int, entries binary"
 #: Pairs of entries taken at a time.
 _AT_ONCE = 2_000_000
 
 
-def _paired(table: pa.Table, threshold: float) -> pa.Table:
-    """Tally of a bucket; of keys with more than HOT entries, blocks of their entries to be paired elsewhere (left, right)."""
-    keys, places, rows, *texts = _joined(table.column("entries").to_pylist())
-    order = np.argsort(keys, kind="stable")
-    keys, places, rows = keys[order], places[order], rows[order]
-    entries = keys, places, rows, *texts
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    ends = np.concatenate([starts[1:], [len(keys)]])
-    several = ends - starts > 1
-    hot = ends - starts > HOT
-    out: list[pa.RecordBatch] = []
+class _Bucket:
+    """Entries of a bucket as they arrive.
+
+    A key of more than HOT entries is passed on in blocks of HOT, each written
+    once, to be paired by other tasks.  That happens as soon as MOST_HELD entries
+    are held, so one key may have any number.
+    """
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.number = 0
+        self.waiting: dict[int, tuple[list[tuple[np.ndarray, ...]], int]] = {}
+        self.blocks: dict[int, int] = {}
+
+    def add(self, blob: bytes) -> Iterator[pa.RecordBatch]:
+        entries = _unpack(blob)
+        self.held.append(entries)
+        self.number += len(entries[0])
+        if self.number > MOST_HELD:
+            yield from self._pass_on()
+
+    def _sorted(self) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+        keys, places, rows, *texts = _joined(self.held)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        return (keys, places[order], rows[order], *texts), starts, np.append(starts[1:], len(keys))[: len(starts)]
+
+    def _pass_on(self) -> Iterator[pa.RecordBatch]:
+        (keys, places, rows, *texts), starts, ends = self._sorted()
+        hot = (ends - starts > HOT) | np.isin(keys[starts].astype(np.int64), np.array(list(self.waiting), np.int64))
+        for s, e in zip(starts[hot], ends[hot], strict=True):
+            key = int(keys[s])
+            lists, n = self.waiting.get(key, ([], 0))
+            lists.append(tuple(c[s:e] for c in (keys, places, rows)) + tuple(texts))
+            lists[-1] = _alone(lists[-1])
+            self.waiting[key] = lists, n + int(e - s)
+            yield from self._emit(key, False)
+        stay = np.repeat(~hot, ends - starts)
+        self.held = [_alone((keys[stay], places[stay], rows[stay], *texts))]
+        self.number = int(stay.sum())
+
+    def _emit(self, key: int, last: bool) -> Iterator[pa.RecordBatch]:
+        lists, n = self.waiting[key]
+        if n < HOT and not last:
+            return
+        keys, places, rows, *texts = _joined(lists)
+        whole = n if last else n - n % HOT
+        for s in range(0, whole, HOT):
+            e = min(s + HOT, whole)
+            yield _block(key, self.blocks.get(key, 0), (keys[s:e], places[s:e], rows[s:e], *texts))
+            self.blocks[key] = self.blocks.get(key, 0) + 1
+        rest = (keys[whole:], places[whole:], rows[whole:], *texts)
+        self.waiting[key] = ([_alone(rest)] if whole < n else []), n - whole
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        if self.waiting or any(len(e[0]) for e in self.held):
+            _, starts, ends = self._sorted()
+            if self.waiting or (ends - starts > HOT).any():
+                yield from self._pass_on()
+        for key, (_, n) in self.waiting.items():
+            if n:
+                yield from self._emit(key, True)
+        entries, starts, ends = self._sorted()
+        yield from _all_pairs(entries, starts, ends, self.threshold)
+
+
+def _alone(entries: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Entries with only the texts they name."""
+    keys, places, rows, *texts = entries
+    used, rows = np.unique(rows, return_inverse=True)
+    return (keys, places, rows, *(t[used] for t in texts))
+
+
+def _all_pairs(entries: tuple[np.ndarray, ...], starts: np.ndarray, ends: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Tally of all pairs of entries of one key."""
     tally: list[np.ndarray] = []
     held = 0
     # the k-th follower of every entry of the same key, for every k
     last = np.repeat(ends, ends - starts)
-    usual = np.repeat(several & ~hot, ends - starts)
-    at = np.flatnonzero(usual)
+    at = np.flatnonzero(np.repeat(ends - starts > 1, ends - starts))
     step = 1
     while len(at := at[at + step < last[at]]):
         tally.append(_pairs(threshold, entries, at, at + step))
         held += len(tally[-1])
         if held > _AT_ONCE:
-            out.append(_tallied(tally))
+            yield _tallied(tally)
             tally, held = [], 0
         step += 1
-    out.append(_tallied(tally))
-    for s, e in zip(starts[hot], ends[hot], strict=True):
-        blocks = [_pack(*(c[k : min(k + HOT, e)] for c in (keys, places, rows)), *texts) for k in range(s, e, HOT)]
-        ij = [(i, j) for i in range(len(blocks)) for j in range(i, len(blocks))]
-        none = pa.nulls(len(ij), pa.int64())
-        few = pa.nulls(len(ij), pa.int32())
-        out.append(pa.RecordBatch.from_arrays([none, none, few, few, pa.array([blocks[i] for i, _ in ij], pa.binary()), pa.array([blocks[j] if j > i else b"" for i, j in ij], pa.binary())], names=_TALLY))
-    return pa.Table.from_batches(out)
+    yield _tallied(tally)
 
 
-def _paired_blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-            entries = _joined([x, y] if y else [x])
-            n = len(_unpack(x)[0])
-            i, j = np.meshgrid(np.arange(n), np.arange(n, len(entries[0])), indexing="ij") if y else np.triu_indices(n, 1)
-            yield _tallied([_pairs(threshold, entries, np.ravel(i), np.ravel(j))])
+def _paired_blocks(table: pa.Table, threshold: float) -> pa.Table:
+    """Tally of one block of a key with itself, or of two with each other."""
+    blobs = table.column("entries").to_pylist()
+    parts = [_unpack(b) for b in blobs]
+    entries = _joined(parts)
+    n, all_ = len(parts[0][0]), len(entries[0])
+    out = []
+    for k in range(n):
+        right = np.arange(n if len(parts) > 1 else k + 1, all_)
+        out.append(_pairs(threshold, entries, np.full(len(right), k), right))
+    return pa.Table.from_batches([_tallied(out)])
 
 
 def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
     """Pairs of classes a < b that share the guaranteed minimum, by size and place able to reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bucket = None, _Bucket(threshold)
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if k != at:
+                    yield from bucket.finish()
+                    at, bucket = k, _Bucket(threshold)
+                yield from bucket.add(blob.as_py())
+        yield from bucket.finish()
+
     # written, since both branches below would else pair at the same time
-    first = checkpointed(entries.groupBy("bucket").applyInArrow(lambda t: _paired(t, threshold), _TALLY_TYPE))
-    blocks = first.where("left is not null").repartition(F.xxhash64("left", "right"))
-    more = blocks.mapInArrow(lambda x: _paired_blocks(x, threshold), _TALLY_TYPE)
-    rows = first.where("left is null").unionByName(more).select("class_a", "class_b", "shared", "asked")
+    first = checkpointed(entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _TALLY_TYPE))
+    blocks = first.where("entries is not null").select("key", "block", "entries")
+    number = blocks.groupBy("key").agg(F.max("block").alias("last"))
+    # spread before they are copied: the blocks of one key lie in one task's output
+    grid = blocks.repartition("key", "block").join(number, "key").select("key", "entries", "block", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    grid = grid.select("key", "entries", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    more = grid.groupBy("key", "i", "j").applyInArrow(lambda t: _paired_blocks(t, threshold), _TALLY_TYPE)
+    rows = first.where("entries is null").unionByName(more).select("class_a", "class_b", "shared", "asked")
     tally = rows.groupBy("class_a", "class_b").agg(F.sum("shared").alias("shared"), F.first("asked").alias("asked"))
     return tally.where("shared >= asked").select("class_a", "class_b")
 
@@ -335,7 +429,7 @@ def _verified(candidates: DataFrame, classes: DataFrame, texts: DataFrame, thres
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _cut(batches):
             hashes, ends = shingle_sets(b.column(1).to_pylist(), n)
-            five = np.ascontiguousarray((hashes >> np.uint64(BITS - 40)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+            five = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
             sets = [five[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["class", "set"])
 

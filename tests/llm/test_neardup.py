@@ -39,26 +39,83 @@ def test_equals_brute_force(spark, rows):
     assert len(want) > 100 and set(got) == want and len(got) == len(want)
 
 
-def test_hot_keys_are_paired_in_blocks(spark, rows, monkeypatch):
+@pytest.mark.parametrize("threshold", [0.04, 0.3, 0.9])
+def test_other_thresholds(spark, rows, threshold):
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    got = {tuple(r) for r in neardup.similar_pairs(df, threshold=threshold).collect()}
+    assert got == _pairs(rows, threshold)
+
+
+def test_the_byte_is_part_of_the_key():
+    import numpy as np
+
+    hashes = np.array([0x1234567801, 0x1234567802], np.uint64)
+    texts = np.array([7, 8]), np.array([10, 10]), np.zeros((2, 4), np.uint64)
+    bucket = neardup._Bucket(0.6)
+    assert not list(bucket.add(neardup._pack(hashes, np.array([0, 0]), np.array([0, 1]), *texts)))
+    assert sum(b.num_rows for b in bucket.finish()) == 0
+
+
+def _tallied(blobs, threshold=0.6):
+    """What buckets and the blocks they pass on tally together, and the largest block."""
     import pyarrow as pa
 
-    monkeypatch.setattr(neardup, "HOT", 2)
+    tally, blocks = defaultdict(int), defaultdict(dict)
+    bucket = neardup._Bucket(threshold)
+    batches = [b for blob in blobs for b in bucket.add(blob)] + list(bucket.finish())
+    for b in batches:
+        if b.num_rows and b.column(6)[0].as_py() is not None:
+            blocks[b.column(4)[0].as_py()][b.column(5)[0].as_py()] = b.column(6)[0].as_py()
+    for own in blocks.values():
+        assert sorted(own) == list(range(len(own)))
+        for i in own:
+            for j in range(i, len(own)):
+                batches += neardup._paired_blocks(pa.table({"entries": pa.array([own[i]] + [own[j]] * (j > i), pa.binary())}), threshold).to_batches()
+    for b in batches:
+        for x, y, n in zip(*(b.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
+            if x is not None:
+                tally[x, y] += n
+    return dict(tally), [len(neardup._unpack(e)[0]) for own in blocks.values() for e in own.values()]
+
+
+def test_hot_keys_are_passed_on_in_blocks(spark, rows, monkeypatch):
     texts = neardup._keyed(spark.createDataFrame(rows, "id bigint, text string"), "id", "text")
     sketch = neardup._sketch(neardup._sets(texts, 3))
-    blobs = neardup._entries(texts, sketch, 0.6, 3, 1).collect()
-    table = neardup._paired(pa.table({"entries": pa.array([bytes(r.entries) for r in blobs], pa.binary())}), 0.6)
-    tally = defaultdict(int)
-    batches = [b for b in table.to_batches() if b.num_rows]
-    blocks = [b for b in batches if b.column(4)[0].as_py() is not None]
-    for b in [b for b in batches if b.column(4)[0].as_py() is None] + list(neardup._paired_blocks(iter(blocks), 0.6)):
-        for x, y, n in zip(*(b.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
-            tally[x, y] += n
-    monkeypatch.setattr(neardup, "HOT", 10**6)
-    plain = neardup._paired(pa.table({"entries": pa.array([bytes(r.entries) for r in blobs], pa.binary())}), 0.6)
-    want = defaultdict(int)
-    for x, y, n in zip(*(plain.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
-        want[x, y] += n
-    assert blocks and dict(tally) == dict(want)
+    blobs = [bytes(r.entries) for r in neardup._entries(texts, sketch, 0.6, 3, 1).collect()]
+    want, none = _tallied(blobs)
+    assert want and not none
+    for hot, held in ((2, 10**9), (2, 5), (3, 50)):
+        monkeypatch.setattr(neardup, "HOT", hot)
+        monkeypatch.setattr(neardup, "MOST_HELD", held)
+        got, blocks = _tallied(blobs)
+        assert got == want and blocks and max(blocks) <= hot
+
+
+def test_one_key_of_200_000_entries_is_never_held_whole(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    monkeypatch.setattr(neardup, "MOST_HELD", 20_000)
+    bucket, sizes = neardup._Bucket(0.6), []
+    tracemalloc.start()
+    for k in range(100):
+        n = 2000
+        blob = neardup._pack(np.full(n, 77, np.uint64), np.zeros(n, np.int64), np.arange(n), np.arange(n) + k * n, np.full(n, 30), np.zeros((n, 4), np.uint64))
+        sizes += [len(neardup._unpack(b.column(6)[0].as_py())[0]) for b in bucket.add(blob) if b.column(6)[0].as_py() is not None]
+        assert bucket.number <= 22_000
+    sizes += [len(neardup._unpack(b.column(6)[0].as_py())[0]) for b in bucket.finish() if b.num_rows]
+    assert sum(sizes) == 200_000 and max(sizes) <= neardup.HOT and tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
+def test_sketches_add_up_in_a_tree(spark, rows, monkeypatch):
+    import numpy as np
+
+    texts = neardup._keyed(spark.createDataFrame(rows, "id bigint, text string").repartition(9), "id", "text")
+    plain = neardup._sketch(neardup._sets(texts, 3))
+    monkeypatch.setattr(neardup, "FAN_IN", 2)
+    assert np.array_equal(plain, neardup._sketch(neardup._sets(texts, 3))) and plain.sum() > 0
 
 
 def test_groups(spark, rows):
