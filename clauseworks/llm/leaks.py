@@ -16,9 +16,11 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .evaluation import evaluation_files, file_name, sized, trimmed
 from .forms import form_words, word_offsets
 
@@ -106,20 +108,23 @@ def leaks(training: DataFrame, items: DataFrame, places: bool = False, most_word
     out = None
     for k in range(blocks):
         rows = [(r.item, r.words) for r in prepared.where(F.col("block") == k).select("item", "words").toLocalIterator()]
-        part = _scan(spark, texts, rows, places)
+        sent = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(rows), 1))
+        part = _scan(texts, sent, bool(rows), places)
+        if blocks > 1:  # one block after the other: its hits are written and its automaton let go before the next is made
+            part = checkpointed(part)
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
-    prepared.unpersist()
+    if blocks > 1:
+        prepared.unpersist()
     return out.distinct()
 
 
-def _scan(spark: SparkSession, texts: DataFrame, rows: list[tuple[str, str]], places: bool) -> DataFrame:
-    sent = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(rows), 1))
+def _scan(texts: DataFrame, sent: Broadcast, some: bool, places: bool) -> DataFrame:
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (own := _READY.get(key)) is None:
-            if len(_READY) > 3:
-                _READY.clear()
+            _READY.clear()
             own = _READY[key] = _Items(pickle.loads(zlib.decompress(sent.value)))
         for b in batches:
             names, ids, starts, ends = [], [], [], []
@@ -136,7 +141,7 @@ def _scan(spark: SparkSession, texts: DataFrame, rows: list[tuple[str, str]], pl
             columns = [pa.array(names, pa.string()), pa.array(ids, pa.int64()), *[pa.array(starts, pa.int32()), pa.array(ends, pa.int32())] * places]
             yield pa.RecordBatch.from_arrays(columns, names=["item", "doc_id", *["char_start", "char_end"] * places])
 
-    if not rows:
+    if not some:
         return texts.sparkSession.createDataFrame([], "item string, doc_id bigint" + ", char_start int, char_end int" * places)
     return texts.mapInArrow(run, "item string, doc_id bigint" + ", char_start int, char_end int" * places)
 

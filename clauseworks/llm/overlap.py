@@ -10,8 +10,10 @@ Training chunks are streamed past the shards.  Of each, all trigrams are looked
 up; if a chunk is similar to an evaluation chunk at Jaccard t, at most n - t * n
 of its n trigrams are missing there, so those that occur least often in the
 shard contain enough shared ones, and only these are located.  Pairs that reach
-the minimum are compared on their whole sets; runs of shared trigrams are merged
-to maximal matches and counted.
+the minimum are compared on their whole sets.  Of the pairs found, the maximal
+matches, runs of words that both texts hold and that can't be made longer on
+either side, are obtained on the diagonals of their shared trigrams, merged where
+they overlap in the training text, and counted.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,14 +105,46 @@ class Shard:
         return low, high
 
 
-def matches(shard: Shard, texts: list[str], threshold: float = THRESHOLD, n: int = WORDS) -> Iterator[tuple[int, int, float, int, int]]:
-    """Text, row of the shard, similarity, maximal matches and words in them, of all pairs that reach the threshold."""
+def maximal_matches(a: np.ndarray, b: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start in a, start in b and words of every run of n or more equal words that can't be made longer."""
+    none = (np.empty(0, np.int64),) * 3
+    if len(a) < n or len(b) < n:
+        return none
+    x, y = (np.stack([w[i : len(w) - n + 1 + i] for i in range(n)], axis=1) for w in (a, b))
+    both = np.unique(np.concatenate([x, y]), axis=0, return_inverse=True)[1].ravel()
+    x, y = both[: len(x)], both[len(x) :]
+    order = np.argsort(y, kind="stable")
+    low, high = np.searchsorted(y[order], x), np.searchsorted(y[order], x, side="right")
+    count = high - low
+    if not count.any():
+        return none
+    i = np.repeat(np.arange(len(x)), count)
+    j = order[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
+    line = np.lexsort((i, j - i))
+    i, j = i[line], j[line]
+    new = np.concatenate([[True], (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)])
+    first = np.flatnonzero(new)
+    return i[first], j[first], np.diff(np.append(first, len(i))) + n - 1
+
+
+def _merged(starts: np.ndarray, words: np.ndarray) -> tuple[int, int]:
+    """Number and words of the spans that overlapping and touching spans make up."""
+    if not len(starts):
+        return 0, 0
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate((starts + words)[order])
+    new = np.concatenate([[True], starts[1:] > ends[:-1]])
+    return int(new.sum()), int((ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)] - starts[new]).sum())
+
+
+def matches(shard: Shard, texts: list[str], threshold: float = THRESHOLD, n: int = WORDS) -> Iterator[tuple[int, int, float, int, int, int]]:
+    """Text, row of the shard, similarity, maximal matches merged in the text, words in them and in the longest, of all pairs that reach the threshold."""
     get = shard.words.get
     lists = [form_words(t) for t in texts]
     lengths = np.array([len(w) for w in lists], np.int64)
     if short := {k: set_hash(np.empty(0, np.uint64), texts[k]) for k in np.flatnonzero(lengths < n)}:
         row = {int(c): k for k, c in enumerate(shard.classes)}
-        yield from ((int(k), row[c], 1.0, 0, 0) for k, c in short.items() if c in row)
+        yield from ((int(k), row[c], 1.0, 0, 0, 0) for k, c in short.items() if c in row)
     flat = [x for w in lists for x in w]
     if len(flat) < n:
         return
@@ -145,12 +179,8 @@ def matches(shard: Shard, texts: list[str], threshold: float = THRESHOLD, n: int
                 continue
             shared = len(np.intersect1d(own, other, assume_unique=True))
             if (near := shared / (size + len(other) - shared)) >= threshold - 1e-12:
-                held = np.concatenate([[False], np.isin(hashes[a:b], other), [False]])
-                edges = np.flatnonzero(held[1:] != held[:-1])
-                from_, to = edges[::2], edges[1::2] + n - 1
-                gaps = from_[1:] > to[:-1]
-                covered = int((to - from_).sum() - np.maximum(0, to[:-1] - from_[1:]).sum())
-                yield int(k), int(c), near, 1 + int(gaps.sum()), covered
+                start, _, length = maximal_matches(words[a : b + n - 1], shard.text[shard.starts[c] : shard.starts[c + 1] - 1], n)
+                yield int(k), int(c), near, *_merged(start, length), int(length.max(initial=0))
 
 
 def _with_class(chunks: DataFrame) -> DataFrame:
@@ -178,8 +208,7 @@ def _shards(texts: DataFrame, chars: int) -> DataFrame:
 _READY: dict[str, list[Shard]] = {}
 
 
-def _stream(training: DataFrame, indexes: list[bytes], threshold: float, batch: int = 2000) -> DataFrame:
-    sent = training.sparkSession.sparkContext.broadcast(indexes)
+def _stream(training: DataFrame, sent: Broadcast, threshold: float, batch: int = 2000) -> DataFrame:
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,11 +220,14 @@ def _stream(training: DataFrame, indexes: list[bytes], threshold: float, batch:
                 b = whole.slice(start, batch)
                 docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 rows = [(docs[k], int(s.classes[c]), *more) for s in shards for k, c, *more in matches(s, texts, threshold)]
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "class", "similarity", "matches", "words"])
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "class", "similarity", "matches", "words", "longest"])
 
-    return training.select("doc_id", "text").mapInArrow(run, "doc_id bigint, class bigint, similarity double, matches int, words int")
+    return training.select("doc_id", "text").mapInArrow(run, "doc_id bigint, class bigint, similarity double, matches int, words int, longest int")
+
+
+MOST = ("similarity", "matches", "words", "longest")
 
 
 def evaluation_ids(documents: DataFrame, docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -205,8 +237,8 @@ def evaluation_ids(documents: DataFrame, docs: DataFrame, spans: DataFrame) -> D
     return named.join(files, "file").groupBy("doc_id").agg(F.max("split").alias("split"))
 
 
-def chunk_overlaps(chunks: DataFrame, documents: DataFrame, docs: DataFrame, spans: DataFrame, threshold: float = THRESHOLD, shard_chars: int = SHARD_CHARS, round_chars: int = ROUND_CHARS) -> DataFrame:
-    """evaluation, training (document ids), similarity, matches, words: the most of each, of all document pairs with similar chunks.
+def class_overlaps(chunks: DataFrame, documents: DataFrame, docs: DataFrame, spans: DataFrame, threshold: float = THRESHOLD, shard_chars: int = SHARD_CHARS, round_chars: int = ROUND_CHARS) -> tuple[DataFrame, DataFrame]:
+    """Two tables: training (document), class and the most of each measure; doc_id, class, text of the evaluation chunks.
 
     Null ids and texts have none, repeated rows count once, a chunk of an unknown
     document belongs to neither side.  The training side is read once for every
@@ -228,15 +260,35 @@ def chunk_overlaps(chunks: DataFrame, documents: DataFrame, docs: DataFrame, spa
         filled += r.chars
     out = None
     for numbers in rounds:
-        part = _stream(training, [bytes(r["index"]) for r in shards.where(F.col("shard").isin(numbers)).select("index").collect()], threshold)
+        sent = chunks.sparkSession.sparkContext.broadcast([bytes(r["index"]) for r in shards.where(F.col("shard").isin(numbers)).select("index").collect()])
+        part = _stream(training, sent, threshold)
+        if len(rounds) > 1:  # one round after the other: what it finds is written and its index let go before the next is sent
+            part = checkpointed(part)
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return chunks.sparkSession.createDataFrame([], "evaluation bigint, training bigint, similarity double, matches int, words int")
-    most = [F.max(c).alias(c) for c in ("similarity", "matches", "words")]
-    classes = out.groupBy(F.col("doc_id").alias("training"), "class").agg(*most)
+        return chunks.sparkSession.createDataFrame([], "training bigint, class bigint, similarity double, matches int, words int, longest int"), held
+    most = [F.max(c).alias(c) for c in MOST]
+    known = documents.select(F.col("doc_id").alias("training")).distinct()
+    return out.join(known, out.doc_id == known.training, "left_semi").groupBy(F.col("doc_id").alias("training"), "class").agg(*most), held
+
+
+def chunk_overlaps(chunks: DataFrame, documents: DataFrame, docs: DataFrame, spans: DataFrame, threshold: float = THRESHOLD, shard_chars: int = SHARD_CHARS, round_chars: int = ROUND_CHARS) -> DataFrame:
+    """evaluation, training (document ids), similarity, matches, words, longest: the most of each, of all document pairs with similar chunks."""
+    classes, held = class_overlaps(chunks, documents, docs, spans, threshold, shard_chars, round_chars)
     owners = held.select(F.col("doc_id").alias("evaluation"), "class").distinct()
-    pairs = classes.join(owners, "class").groupBy("evaluation", "training").agg(*most)
-    return pairs.join(documents.select(F.col("doc_id").alias("training")).distinct(), "training", "left_semi").select("evaluation", "training", "similarity", "matches", "words")
+    return classes.join(owners, "class").groupBy("evaluation", "training").agg(*(F.max(c).alias(c) for c in MOST)).select("evaluation", "training", *MOST)
+
+
+def overlap_classes(chunks: DataFrame, documents: DataFrame, docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """class (of evaluation chunks with equal words), evaluation and training: numbers of documents that hold it and one similar to it.
+
+    A clause that a third of all documents share is one row here, where
+    chunk_overlaps has a row for each pair of its documents.
+    """
+    classes, held = class_overlaps(chunks, documents, docs, spans)
+    owners = held.groupBy("class").agg(F.countDistinct("doc_id").alias("evaluation"))
+    return classes.groupBy("class").agg(F.count("*").alias("training"), F.max("longest").alias("longest")).join(owners, "class").select("class", "evaluation", "training", "longest")
 
 
 def hash_overlaps(documents: DataFrame, docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -59,6 +59,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.least("evaluation", "training").alias("doc_a"), F.greatest("evaluation", "training").alias("doc_b"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps by class of evaluation chunks, which stays small where one clause is in many documents."""
+    documents, chunks, docs, spans = (_read(spark, d, t) for t in _P5)
+    return overlap.overlap_classes(chunks, documents, docs, spans)
+
+
+def p5_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Of every overlapping pair of documents with similar chunks: merged maximal matches, words in them and in the longest."""
+    documents, chunks, docs, spans = (_read(spark, d, t) for t in _P5)
+    return overlap.chunk_overlaps(chunks, documents, docs, spans).select("evaluation", "training", *overlap.MOST)
+
+
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_counts(*(_read(spark, d, t) for t in _P5))
 

@@ -20,6 +20,24 @@ def test_backward_search_finds_all_places():
     assert all(shard.text[p : p + 2].tolist() == words[:2].tolist() for p in places)
 
 
+def test_maximal_matches():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = (rng.integers(0, 4, rng.integers(0, 30)) for _ in range(2))
+        want = set()
+        for i in range(len(a)):
+            for j in range(len(b)):
+                if not (i and j and a[i - 1] == b[j - 1]):
+                    k = 0
+                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                        k += 1
+                    if k >= 3:
+                        want.add((i, j, k))
+        got = list(zip(*(x.tolist() for x in overlap.maximal_matches(a, b)), strict=True))
+        assert len(got) == len(set(got)) and set(got) == want
+    assert overlap._merged(np.array([5, 0, 8, 20]), np.array([4, 3, 2, 3])) == (3, 3 + 5 + 3)
+
+
 @pytest.fixture(scope="module")
 def tables():
     import random
@@ -60,6 +78,9 @@ def test_equals_pairs_of_near_duplicates(spark, tables, chars):
     got = overlap.chunk_overlaps(c, d, docs, spans, shard_chars=chars[0], round_chars=chars[1]).collect()
     assert {(r.evaluation, r.training) for r in got} == want
     assert all(r.similarity >= 0.6 for r in got)
+    assert all(0 <= r.longest <= r.words for r in got)
+    classes = overlap.overlap_classes(c, d, docs, spans).collect()
+    assert sum(r.evaluation * r.training for r in classes) >= len(want) and all(r.training > 0 for r in classes)
     both = {tuple(r) for r in overlap.hash_overlaps(d, docs, spans).collect()}
     assert both == {(a, b) for a, _, h in documents for b, _, g in documents if h is not None and h == g and a <= 10 < b}
     counts = overlap.overlap_counts(d.selectExpr("*", "'src' AS source"), c, docs, spans).collect()
