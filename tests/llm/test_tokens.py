@@ -19,6 +19,16 @@ def test_ids_equal_the_whole_tokenizer(spark):
     assert got == {k: whole.encode(t or "", add_special_tokens=False).ids for k, t in enumerate(TEXTS)}
 
 
+def test_blocks(spark):
+    """Every text a block, repeated rows, words that blocks share, and texts far longer than a block."""
+    long = "one two  three\n" * 3000
+    rows = [*enumerate(TEXTS), *enumerate(TEXTS), (50, long), (51, "two three"), (None, "two")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = [sorted(((r.doc_id, r.ids) for r in tokens.encode(df, chars=c).collect()), key=key) for c in (0, 20, tokens.BLOCK_CHARS)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+
+
 def test_round_trip(spark):
     rows = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
     assert {r.doc_id: r.text for r in tokens.decode(tokens.encode(rows)).collect()} == {k: t or "" for k, t in enumerate(TEXTS)}
