@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name
+from ..session import checkpointed
 
 #: Fixed value: ranks that count.
 DEPTH = 10
@@ -97,8 +98,23 @@ def cross_validated(scores: DataFrame, fold: Column, value: str = "ndcg") -> Dat
 
 
 def latency(series: DataFrame, value: str, by: str) -> DataFrame:
-    """by, n, median, p95 (nearest rank) of a series of numbers; nulls don't count."""
-    return series.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.round(F.median(value), 6).alias("median"), F.round(F.expr(f"percentile_disc(0.95) within group (order by {value})"), 6).alias("p95"))
+    """by, n, median, p95 (nearest rank) of a series of numbers; nulls don't count.
+
+    Equal values are counted where they are; sorted ranges of them are numbered
+    each for itself and shifted by what lies before, so no task holds a group.
+    """
+    counts = series.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    ranges = counts.repartitionByRange(by, "v").sortWithinPartitions(by, "v").withColumn("part", F.spark_partition_id())
+    ranges = checkpointed(ranges)
+    sizes = ranges.groupBy(by, "part").agg(F.sum("c").alias("held"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("held").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("held")
+    total = sizes.groupBy(by).agg(F.sum("held").alias("n"))
+    within = F.sum("c").over(Window.partitionBy("part", by).orderBy("v"))
+    rows = ranges.withColumn("within", within).join(F.broadcast(before), [by, "part"]).join(F.broadcast(total), by)
+    last = F.col("before") + F.col("within")  # place of the value's last, from 1
+    at = lambda place: F.max(F.when((last >= place) & (last - F.col("c") < place), F.col("v")))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    return rows.groupBy(by, "n").agg(F.round((at(low) + at(high)) / 2, 6).alias("median"), F.round(at(F.ceil(F.lit(0.95) * F.col("n"))), 6).alias("p95"))
 
 
 def run_lines(run: DataFrame) -> DataFrame:

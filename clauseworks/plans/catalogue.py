@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import chunking, evaluation, retrieval, tables
+from ..operators import chunking, evaluation, retrieval, tables, training
 from ..session import checkpointed, spread
+from . import exchange
 
 KAPPAS = (1, 5, 20, 60)
 PAIRS = [("semantic", "bm25"), ("hybrid", "bm25"), ("hybrid", "semantic")]
@@ -334,12 +335,46 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+# training
+
+
+TEMPERATURES = (0.02, 0.05, 0.1, 0.2)
+
+
+def _vector_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring vectors as anchor and positive, in flat batches of 32."""
+    rows = _t(spark, d, "embeddings").select("vec_id", "embedding")
+    anchors = rows.where("vec_id % 2 = 0").select("vec_id", F.col("embedding").alias("anchor"))
+    positives = rows.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("positive"))
+    pairs = anchors.join(positives, "vec_id").select(F.floor(F.col("vec_id") / 2).cast("bigint").alias("pair"), "anchor", "positive")
+    return training.flat_batches(pairs, F.col("pair"), 32)
+
+
+def validation_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Loss and accuracy of the first place, by temperature."""
+    return training.contrastive(_vector_pairs(spark, d), TEMPERATURES)
+
+
+def best_temperature(spark: SparkSession, d: str) -> DataFrame:
+    return training.best_setting(validation_loss(spark, d), "temperature")
+
+
+def warm_up(spark: SparkSession, d: str) -> DataFrame:
+    return training.warm_up(spark, 300, 2e-5, 100).withColumn("rate", F.round("rate", 12))
+
+
+def template_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Whether queries are tied to their labels: margins, first hits and the sign test."""
+    labels = _t(spark, d, "embeddings").select("label").distinct().count()
+    return training.template_gate(label_margin(spark, d), label_recall(spark, d), labels)
+
+
 _NAMES = (
     "hybrid_kappa_5 nearest_to_one nearest_of_each label_recall unit_vectors label_centroids label_margin vector_faults hash_embeddings normalized_text joined_hyphens clause_lines clause_units packed_chunks word_windows snippets text_hashes"
     " document_formats shared_trigrams bm25_documents bm25_chunks bm25_stemmed bm25_parsed semantic_chunks hybrid_kappa_60 hit_details span_islands relevant_chunks relevance_counts metrics_per_query metrics_by_kind signed_ranks kappa_by_fold kappa_votes"
-    " run_lines qrel_lines latency_by_type kept_categories held_out_documents missing_evaluation_files training_pairs training_batches contract_parts sampled_documents page_offsets passage_pages dense_chunk_ids table_counts"
+    " run_lines qrel_lines latency_by_type kept_categories held_out_documents missing_evaluation_files training_pairs training_batches contract_parts sampled_documents page_offsets passage_pages dense_chunk_ids table_counts validation_loss best_temperature warm_up template_gate"
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in _NAMES.split()}
+    return {name: globals()[name] for name in _NAMES.split()} | {name: getattr(exchange, name) for name in exchange.NAMES.split()}

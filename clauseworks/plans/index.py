@@ -135,7 +135,8 @@ def build(spark: SparkSession, source: str, index: str, embedder: Embedder | Non
     shutil.rmtree(staging, ignore_errors=True)
     work = staging / "chunks"
     files = read_files(spark, listing.found).persist()
-    found = passages(files, config).persist()
+    # a model's chunks are measured in its own tokens, so that none is cut when it is embedded
+    found = passages(files, config, getattr(embedder, "tokens", word_tokens)).persist()
     # one row of each file reaches the driver: its number of chunks or its fault
     counts = dict(found.groupBy("position").count().collect())
     faults = {r.position: (r.path, r.error) for r in files.where("error is not null").select("position", "path", "error").collect()}

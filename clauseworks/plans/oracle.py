@@ -126,15 +126,61 @@ def _nearest(where: str, k: int) -> str:
 
 
 _LINES = f"lines AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split({_normalized('text')}, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"
+_NO_MARK = "regexp_replace(text, '^\ufeff', '')"
 _IS_FORMAT = r"CASE WHEN regexp_matches({f}, '^\.*[^.].*\.(?i:pdf|docx|txt)$') THEN lower(regexp_extract({f}, '\.([^.]+)$', 1)) END"
 
 
+def _packed(text: str = "text") -> str:
+    """CTEs that end in packed(doc_id, ord, text, char_start, char_end): units folded into chunks of 200 words, longer ones cut into windows."""
+    return f"""WITH RECURSIVE forms AS (SELECT doc_id, {_normalized(text)} AS form FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(form, chr(10)) AS l FROM forms)),
+offsets AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS line_start FROM lines),
+flagged AS (SELECT *, CASE WHEN line = '' OR regexp_matches(line, {_q(CLAUSE_LINE)}) THEN 1 ELSE 0 END AS new FROM offsets),
+grouped AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM flagged),
+unit AS (SELECT doc_id, min(line_start)::BIGINT AS s, string_agg(line, chr(10) ORDER BY pos) AS text FROM grouped WHERE line <> '' GROUP BY doc_id, part),
+counted AS (SELECT doc_id, s, s + length(text) AS e, {_WORDS} AS w, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k FROM unit),
+fold AS (
+  SELECT doc_id, k, s, e, w, CASE WHEN len(w) > 200 THEN 0 ELSE len(w) END AS held, 1 AS part FROM counted WHERE k = 1
+  UNION ALL
+  SELECT c.doc_id, c.k, c.s, c.e, c.w, CASE WHEN len(c.w) > 200 THEN 0 WHEN f.held > 0 AND f.held + len(c.w) <= 200 THEN f.held + len(c.w) ELSE len(c.w) END,
+    f.part + CASE WHEN len(c.w) <= 200 AND f.held > 0 AND f.held + len(c.w) <= 200 THEN 0 ELSE 1 END
+  FROM fold f JOIN counted c ON c.doc_id = f.doc_id AND c.k = f.k + 1),
+long AS (SELECT doc_id, s, w, unnest(range(0, 1 + ceil((len(w) - 200) / 160e0)::BIGINT)) * 160 AS a FROM fold WHERE len(w) > 200),
+pieces AS (
+  SELECT doc_id, min(s) AS s, max(e) AS e FROM fold WHERE len(w) BETWEEN 1 AND 200 GROUP BY doc_id, part
+  UNION ALL
+  SELECT doc_id, s + coalesce(list_sum(list_transform(list_slice(w, 1, a), lambda x: length(x))), 0) + a,
+    s + list_sum(list_transform(list_slice(w, 1, least(a + 200, len(w))), lambda x: length(x))) + least(a + 200, len(w)) - 1 FROM long),
+packed AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p.s) - 1)::INT AS ord, substring(form, p.s::BIGINT + 1, (p.e - p.s)::BIGINT) AS text, p.s::INT AS char_start, p.e::INT AS char_end FROM pieces p JOIN forms USING (doc_id))"""
+
+
+_PAIR_SCORES = """WITH p AS (SELECT a.vec_id // 2 AS pair, (a.vec_id // 2) // 32 AS batch, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0),
+s AS (SELECT p.batch, p.pair, q.pair AS other, list_inner_product(p.x, q.y) AS score FROM p JOIN p q USING (batch)),
+t AS (SELECT unnest([0.02e0, 0.05e0, 0.1e0, 0.2e0]) AS temperature),
+r AS (SELECT temperature, pair, max(CASE WHEN other = pair THEN score END) AS own, max(score) AS best, ln(sum(exp(score / temperature))) AS whole FROM s CROSS JOIN t GROUP BY 1, 2),
+loss AS (SELECT temperature, count(*) AS pairs, round(avg(whole - own / temperature), 6) AS loss, round(avg(CASE WHEN own = best THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM r GROUP BY 1)"""
+
+
 def sql() -> dict[str, str]:
     file_format = _IS_FORMAT.format(f=_FILE)
     evaluation = "SELECT DISTINCT file FROM (SELECT trim(file) AS file FROM docs UNION ALL SELECT trim(file) FROM spans) WHERE file <> ''"
     pair = "SELECT 'semantic' AS method_a, 'bm25' AS method_b UNION ALL SELECT 'hybrid', 'bm25' UNION ALL SELECT 'hybrid', 'semantic'"
     trigram = "list_distinct(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]))"
-    return {
+    own = {
+        "packed_chunks": f"{_packed()} SELECT doc_id, ord, text, char_start, char_end FROM packed",
+        "index_chunks": f"{_packed(_NO_MARK)} SELECT doc_id, ord, md5(text) AS md5, md5(text) AS source_md5 FROM packed",
+        "index_numbers": f"{_packed(_NO_MARK)} SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, count(*) - 1 AS last_id, (SELECT count(*) FROM documents WHERE text IS NOT NULL) - count(DISTINCT doc_id) AS skipped, true AS reusable FROM packed",
+        "query_file": "SELECT DISTINCT id, category, kind, text FROM queries",
+        "span_file": f"SELECT category, file, char_start, char_end FROM ({_SPANS})",
+        "name_file": "SELECT DISTINCT trim(file) AS file FROM docs WHERE trim(file) <> ''",
+        "run_file": "SELECT DISTINCT query_id, chunk_id AS id, hit_rank AS rank, round(score::DOUBLE, 6) AS score, 'earlier' AS method FROM hits WHERE score IS NOT NULL AND NOT isnan(score)",
+        "qrel_file": f"WITH {_QRELS} SELECT query_id, chunk_id FROM qrels",
+        "vector_file": "SELECT id, generate_subscripts(embedding, 1) - 1 AS place, round(unnest(embedding)::DOUBLE, 6) AS value FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, embedding FROM embeddings)",
+        "validation_loss": f"{_PAIR_SCORES} SELECT * FROM loss",
+        "best_temperature": f"{_PAIR_SCORES} SELECT temperature, loss FROM loss ORDER BY loss, temperature LIMIT 1",
+        "warm_up": "SELECT step, round(CASE WHEN step < 100 THEN 2e-5 * (step + 1) / 100 ELSE 2e-5 END, 12) AS rate FROM (SELECT unnest(range(300)) AS step)",
+    }
+    out = own | {
         "nearest_to_one": _nearest("vec_id = 0", 10).replace("SELECT query_id, id, round(score, 6)", "SELECT id, round(score, 6)"),
         "nearest_of_each": _nearest("vec_id % 50 = 0", 5),
         "label_recall": f"""WITH scored AS (SELECT q.vec_id AS query_id, q.label AS own, e.vec_id AS id, e.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
@@ -212,3 +258,9 @@ placed AS (SELECT passage_id, page, row_number() OVER (PARTITION BY passage_id O
 SELECT id, row_number() OVER (ORDER BY path, ord, id) - 1 AS number FROM c JOIN d USING (doc_id)""",
         "table_counts": "SELECT 'documents' AS name, count(*) AS row_count, count(DISTINCT doc_id) AS keys FROM documents UNION ALL SELECT 'chunks', count(*), count(DISTINCT id) FROM chunks UNION ALL SELECT 'passages', count(*), count(DISTINCT passage_id) FROM passages",
     }
+    margins, recalls = out["label_margin"], out["label_recall"]
+    out["template_gate"] = f"""WITH m AS (SELECT count(*) AS n, avg(margin) AS mean, count(CASE WHEN margin > 0 THEN 1 END) AS positive FROM ({margins})),
+f AS (SELECT sum(top_1) / sum(queries) AS rate FROM ({recalls})),
+b AS (SELECT least(1e0, 2 * sum(factorial(n::INT)::DOUBLE / (factorial(i::INT)::DOUBLE * factorial((n - i)::INT)::DOUBLE)) / pow(2, n)) AS p FROM (SELECT n, unnest(range(0, least(positive, n - positive) + 1)) AS i FROM m) GROUP BY n)
+SELECT n AS templates, round(mean, 6) AS mean_margin, positive, round(rate, 6) AS first_rate, round(p, 6) AS sign_p, mean > 0.01 AND positive >= 0.8 * n AND rate > 3e0 / (SELECT count(DISTINCT label) FROM embeddings) AS passed FROM m, f, b"""
+    return out

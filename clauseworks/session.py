@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,18 +25,36 @@ def local_session(cores: int = 8, app: str = "clauseworks") -> SparkSession:
     return spark
 
 
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints: the context's, else the one the session names, else, on one machine only, a temporary one."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="clauseworks-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder and read from there, so that lost executors lose nothing.
 
     A folder is set here only where the session names none, as in tests.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="clauseworks-"))
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> Path:
+    """A new folder for files beside the checkpoints, which all machines must see as a path."""
+    place = urlparse(_checkpoint_folder(spark))
+    if place.scheme not in ("", "file"):
+        raise ValueError(f"files need a folder with a path, not {place.geturl()}")
+    out = Path(place.path) / f"files-{uuid.uuid4().hex}"
+    out.mkdir(parents=True)
+    return out
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A stored table with at least a partition for each core: one of a few files that can't be split would keep the others idle.
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,11 +93,36 @@ def read_contracts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return contracts.select("title", F.col("p.context").alias("text")), spans
 
 
+#: Rows of a raw vector file that a task reads at a time.
+RAW_ROWS = 100_000
+
+
 def read_raw_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """id and vec of a file of little-endian 32-bit floats, dim for each row from 0; another length is an error."""
-    import numpy as np
+    """id and vec of a file of little-endian 32-bit floats, dim for each row from 0; another length is an error.
 
-    data = np.fromfile(path, "<f4")
-    if len(data) % dim:
-        raise BadRecord(f"{path}: {len(data)} numbers aren't rows of {dim}")
-    return spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data.reshape(-1, dim))], "id bigint, vec array<float>")
+    The driver looks at the length only; tasks, which must see the file, read ranges of rows.
+    """
+    size = Path(path).stat().st_size
+    if size % (4 * dim):
+        raise BadRecord(f"{path}: {size // 4} numbers aren't rows of {dim}")
+    rows = size // (4 * dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in b.column(0).to_pylist():
+                n = min(RAW_ROWS, rows - first)
+                values = np.fromfile(path, "<f4", n * dim, offset=4 * dim * first).astype(np.float32)
+                ends = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), pa.ListArray.from_arrays(ends, pa.array(values))], names=["id", "vec"])
+
+    return spark.range(0, rows, RAW_ROWS).mapInArrow(run, "id bigint, vec array<float>")
+
+
+def write_raw_vectors(vectors: DataFrame, path: str | Path) -> int:
+    """The vectors of the only column, in their order, as one such file; the number of rows.  They pass the driver one partition at a time."""
+    n = 0
+    with open(path, "wb") as f:
+        for row in vectors.toLocalIterator():
+            f.write(np.array(row[0], "<f4").tobytes())
+            n += 1
+    return n

@@ -159,3 +159,36 @@ def test_relative_buckets():
 
 def test_models():
     assert em.MODELS["intfloat/e5-base-v2"].query_prefix == "query: " and em.MODELS["BAAI/bge-base-en-v1.5"].directory == "bge-base-en-v1.5"
+
+
+def test_chunks_are_measured_in_the_tokens_of_the_model(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from clauseworks.functions.embedding import HashEmbedder
+
+    vocabulary = {c: k for k, c in enumerate(["[UNK]", *"abcdefghijklmnopqrstuvwxyz.,0123456789"])}
+    tokenizer = Tokenizer(models.WordLevel(vocabulary, "[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Split("", "isolated")
+    letters = tokenizer.to_str()
+
+    class Letters(HashEmbedder):
+        def tokens(self, text):
+            return [(a, b) for a, b in Tokenizer.from_str(letters).encode(text, add_special_tokens=False).offsets if a < b and not text[a:b].isspace()]
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("1. The buyer pays.\n2. The seller sends the goods.\n\n" + "word " * 60)
+    index.build(spark, str(tmp_path / "in"), str(tmp_path / "out"), Letters(), ChunkConfig(40, 5))
+    texts = [r.text for r in index.Index(spark, str(tmp_path / "out"), Letters(), ChunkConfig(40, 5)).chunks.collect()]
+    assert len(texts) > 3 and all(len(Letters().tokens(t)) <= 40 for t in texts)
+
+
+def test_erf_and_gelu():
+    from math import erf as exact
+
+    import numpy as np
+
+    from clauseworks.functions.embedding import erf, gelu
+
+    x = np.linspace(-6, 6, 2001)
+    assert np.abs(erf(x) - [exact(v) for v in x]).max() < 2e-7
+    assert gelu(np.zeros(3, np.float32)).dtype == np.float32
