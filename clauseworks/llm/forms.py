@@ -12,18 +12,28 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters of one look, by script, in columns of equal position.
-_LATIN_1, _CYRILLIC = "aceijopsxyhdqwABCEHIJKMOPSTXYQWl", "асеіјорѕхуһԁԛԝАВСЕНІЈКМОРЅТХУԚԜӏ"
-_LATIN_2, _GREEK = "aiopuvABEZHIKMNOPTYXcjs", "αιορυνΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳѕ"
-_LATIN_3, _ARMENIAN = "ouhn", "օսհո"
+# Letters of one look, from Unicode's public list of confusables: a Latin letter and that of the other script.
+_LOOK_ALIKES = {
+    "Cyrillic": "aа cс eе iі jј oо pр sѕ xх yу hһ dԁ qԛ wԝ AА BВ CС EЕ HН IІ JЈ KК MМ OО PР SЅ TТ XХ YУ QԚ WԜ lӏ",
+    "Greek": "aα iι oο pρ uυ vν AΑ BΒ EΕ ZΖ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ YΥ XΧ cϲ jϳ",
+    "Armenian": "oօ uս hհ nո",
+}
+#: The same, but rarer or less alike: such a letter can be Latin, but no Latin word is spelled with it.
+_ONE_WAY = {
+    "Cyrillic": "vѵ rг bЬ GԌ VѴ",
+    "Greek": "FϜ",
+    "Armenian": "qզ gց",
+    "Cherokee": "DᎠ RᎡ TᎢ iᎥ AᎪ JᎫ EᎬ WᎳ MᎷ HᎻ GᏀ ZᏃ VᏙ SᏚ LᏞ CᏟ PᏢ KᏦ BᏴ",
+}
 #: Latin letters and hyphens that only look like the common one.
-_SAME_SCRIPT = {"ɡ": "g", "ɑ": "a", "‐": "-", "‑": "-"}
+_SAME_SCRIPT = {"ɡ": "g", "ɑ": "a", "ƒ": "f", "‐": "-", "‑": "-"}
 #: Format characters (Cf) that are drawn.
 _DRAWN = re.compile("[؀-؅۝܏࢐࢑࣢\U000110bd\U000110cd]")
 #: Characters without width outside the classes Cf and Cc.
@@ -32,11 +42,11 @@ _BLANK = re.compile("[͏ᅟᅠ឴឵᠋-᠍᠏ㅤﾠ︀-️\U000e0100-\U000e01ef
 
 def _look_alikes() -> dict[str, dict[str, str]]:
     rows: dict[str, dict[str, str]] = {}
-    for latin, other, script in ((_LATIN_1, _CYRILLIC, "Cyrillic"), (_LATIN_2, _GREEK, "Greek"), (_LATIN_3, _ARMENIAN, "Armenian")):
-        for a, b in zip(latin, other, strict=False):
-            if _script(b) == script:
-                rows.setdefault(a, {"Latin": a})[script] = b
-    return {c: row for row in rows.values() for c in row.values()}
+    for script, pairs in _LOOK_ALIKES.items():
+        for latin, other in pairs.split(" "):
+            rows.setdefault(latin, {"Latin": latin})[script] = other
+    both = {c: row for row in rows.values() for c in row.values()}
+    return both | {other: {"Latin": latin, script: other} for script, pairs in _ONE_WAY.items() for latin, other in pairs.split(" ")}
 
 
 def _script(c: str) -> str:
@@ -47,6 +57,8 @@ def _script(c: str) -> str:
         return "Greek"
     if 0x400 <= n < 0x530 or 0x1C80 <= n < 0x1C90 or 0xA640 <= n < 0xA6A0:
         return "Cyrillic"
+    if 0x13A0 <= n < 0x1400 or 0xAB70 <= n < 0xABC0:
+        return "Cherokee"
     return "Armenian" if 0x530 <= n < 0x590 else "other"
 
 
@@ -77,7 +89,7 @@ _TABLE = _Table()
 #: Anything but what is certain to stay as it is.
 _ODD = re.compile("[^\t\n\r -~À-ıЀ-҂Ҋ-ԯ一-鿿]+")
 _CONTROL = re.compile("[\0-\x08\x0e-\x1f\x7f]")
-_OTHER_SCRIPT = re.compile("[Ͱ-֏ᲀ-᲏ἀ-῿Ꙁ-ꚟ]")
+_OTHER_SCRIPT = re.compile("[Ͱ-֏Ꭰ-᏿ᲀ-᲏ἀ-῿Ꙁ-ꚟꭰ-ꮿ]")
 _TOKEN = re.compile("(?:[^\\W\\d_][̀-ͯ]*)+")
 _WORD = re.compile(r"[^\W_]+")
 _MEMO: dict[str, dict[str, str]] = {}
@@ -97,15 +109,30 @@ def _spellings(token: str) -> dict[str, str]:
     return to
 
 
-def _one_script(text: str) -> str:
-    """Every token in its one script; of several, in that of the nearest tokens with one if these agree, else in Latin."""
+class Confusables(NamedTuple):
+    """Tokens of a text that mix scripts and that one script spells, that mix scripts no one of which spells them, and that were spelled wholly in another script."""
+
+    mixed: int
+    unresolved: int
+    whole: int
+
+
+def _scripts(token: str) -> set[str]:
+    return {_script(c) for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c)} - {"other"}
+
+
+def _one_script(text: str, seen: list[str] | None = None) -> str:
+    """Every token in its one script; of several, in that of the nearest tokens with one if these agree, else in Latin.
+
+    What is found goes into seen, a word for each token: mixed, unresolved or whole.
+    """
     tokens = list(_TOKEN.finditer(text))
     choices = [_spellings(m[0]) for m in tokens]
     after: list[str] = []
-    seen = ""
+    near = ""
     for c in reversed(choices):
-        after.append(seen)
-        seen = next(iter(c)) if len(c) == 1 else seen
+        after.append(near)
+        near = next(iter(c)) if len(c) == 1 else near
     parts, at, before = [], 0, ""
     for m, c, behind in zip(tokens, choices, reversed(after), strict=True):
         if len(c) > 1:
@@ -114,12 +141,27 @@ def _one_script(text: str) -> str:
         else:
             to = next(iter(c.values()), m[0])
             before = next(iter(c), before)
+        if seen is not None and (to != m[0] or not c):
+            if len(_scripts(m[0])) > 1:
+                seen.append("mixed" if c else "unresolved")
+            elif to != m[0]:
+                seen.append("whole")
         if to != m[0]:
             parts += [text[at : m.start()], to]
             at = m.end()
     return "".join([*parts, text[at:]])
 
 
+def confusables(text: str | None) -> Confusables:
+    """What look-alike letters a text holds."""
+    seen: list[str] = []
+    if text and not text.isascii():
+        text = unicodedata.normalize("NFC", _ODD.sub(lambda m: m[0].translate(_TABLE), text))
+        if _OTHER_SCRIPT.search(text):
+            _one_script(text, seen)
+    return Confusables(*(seen.count(k) for k in Confusables._fields))
+
+
 def consistent_form(text: str | None) -> str | None:
     """The consistent form; None for None, "" for blank text.
 
@@ -180,26 +222,40 @@ def digest(text: str) -> bytes:
 
 
 def with_forms(df: DataFrame, key: str, text: str = "text", full: bool = True) -> DataFrame:
-    """key, form (left out unless full), form_hash and text_hash of every row whose key and text aren't null."""
-    schema = f"{key} bigint, " + "form string, " * full + "form_hash binary, text_hash binary"
+    """key, form, tokens mixed, unresolved and whole (these four left out unless full), form_hash and text_hash of every row whose key and text aren't null."""
+    found = ", ".join(f"{c} int" for c in Confusables._fields)
+    schema = f"{key} bigint, " + f"form string, {found}, " * full + "form_hash binary, text_hash binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             forms = list(map(consistent_form, texts))
-            columns = [b.column(0), *[pa.array(forms, pa.string())] * full, pa.array(map(digest, forms), pa.binary()), pa.array(map(digest, texts), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, *["form"] * full, "form_hash", "text_hash"])
+            more = [pa.array(forms, pa.string()), *(pa.array(c, pa.int32()) for c in zip(*map(confusables, texts), strict=True))] if full and texts else [pa.nulls(0, pa.string()), *[pa.nulls(0, pa.int32())] * 3] * full
+            columns = [b.column(0), *more, pa.array(map(digest, forms), pa.binary()), pa.array(map(digest, texts), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, *["form", *Confusables._fields] * full, "form_hash", "text_hash"])
 
     rows = df.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("text")).where(f"{key} is not null and text is not null")
     return rows.mapInArrow(run, schema)
 
 
+def _hashes(df: DataFrame, key: str) -> DataFrame:
+    return with_forms(df, key, full=False)
+
+
 def equal_forms(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Pairs of a left and a right row of one consistent form whose stored texts differ.
 
     Only 16-byte digests are shuffled.  Rows without key or text have no pair;
-    repeated rows count once; blank texts share the empty form.
+    repeated rows count once; blank texts share the empty form.  Rows of one form
+    are spelled out as pairs; form_classes stays small where they are many.
     """
-    a = with_forms(left, left_key, full=False).withColumnRenamed("text_hash", "left_hash")
-    b = with_forms(right, right_key, full=False).withColumnRenamed("text_hash", "right_hash")
+    a = _hashes(left, left_key).withColumnRenamed("text_hash", "left_hash")
+    b = _hashes(right, right_key).withColumnRenamed("text_hash", "right_hash")
     return a.join(b, "form_hash").where("left_hash <> right_hash").select(left_key, right_key).distinct()
+
+
+def form_classes(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """form_hash, left_rows, right_rows, spellings of every form that both sides have, stored in several spellings: a row a form, added up where the rows are."""
+    sides = [_hashes(x, k).select("form_hash", "text_hash", F.col(k).alias("key"), F.lit(n).alias("side")).dropDuplicates(["side", "key", "text_hash"]) for n, (x, k) in enumerate(((left, left_key), (right, right_key)))]
+    each = sides[0].unionByName(sides[1]).groupBy("form_hash", "text_hash").agg(F.count_if(F.col("side") == 0).alias("l"), F.count_if(F.col("side") == 1).alias("r"))
+    return each.groupBy("form_hash").agg(F.sum("l").alias("left_rows"), F.sum("r").alias("right_rows"), F.count("*").alias("spellings")).where("left_rows > 0 and right_rows > 0 and spellings > 1")

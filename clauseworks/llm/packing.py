@@ -76,18 +76,20 @@ class Packer:
 
 
 def fill(documents: DataFrame, config: DataFrame, vocabulary: str = VOCABULARY, default_capacity: int = 2048) -> DataFrame:
-    """container_id, doc_id, part, token_start, tokens: every text in one container, one over the capacity in parts.
+    """container_id, doc_id, part, token_start, tokens, capacity: every text in one container, one over the capacity in parts.
 
     Parts are as long as the capacity, the last one takes what is left.  Null and
     empty texts have no tokens and the container null.  The capacity is that of
     the document's source, default_capacity where it has none.  Each task fills
     containers from its own texts, some thousands at a time, so nothing is
     shuffled and only the last containers of a task and capacity, when few texts are left, are filled badly.
-    Repeated rows are placed each for itself.
+    A task sees at most MOST_WAITING texts of a capacity at a time, so which texts
+    share a container depends on how the table is partitioned.  Repeated rows are
+    placed each for itself.
     """
     capacities = {r.source: r.capacity for r in config.where("source is not null and capacity > 0").groupBy("source").agg(F.min("capacity").alias("capacity")).collect()}
-    names = ["container_id", "doc_id", "part", "token_start", "tokens"]
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    names = ["container_id", "doc_id", "part", "token_start", "tokens", "capacity"]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
@@ -104,20 +106,20 @@ def fill(documents: DataFrame, config: DataFrame, vocabulary: str = VOCABULARY,
                 packer = packers.setdefault(capacity, Packer(capacity))
                 tokens = size(text, vocabulary)
                 if not tokens:
-                    rows.append((None, doc, 0, 0, 0))
+                    rows.append((None, doc, 0, 0, 0, capacity))
                 for part, start in enumerate(range(0, tokens, capacity)):
                     packer.add((doc, part, start), min(capacity, tokens - start))
             for packer in packers.values():
                 if packer.number > MOST_WAITING:
                     for box in packer.filled(LEAST_WAITING):
-                        rows += [(first + number, *item, n) for item, n in box]
+                        rows += [(first + number, *item, n, packer.capacity) for item, n in box]
                         number += 1
             yield table(rows)
         rows = []
         for packer in packers.values():
             for box in packer.filled(0):
-                rows += [(first + number, *item, n) for item, n in box]
+                rows += [(first + number, *item, n, packer.capacity) for item, n in box]
                 number += 1
         yield table(rows)
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source").mapInArrow(run, "container_id bigint, doc_id bigint, part int, token_start int, tokens int")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source").mapInArrow(run, "container_id bigint, doc_id bigint, part int, token_start int, tokens int, capacity int")

@@ -28,10 +28,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return forms.equal_forms(_read(spark, d, "passages"), _read(spark, d, "chunks").withColumnRenamed("id", "chunk_id"), "passage_id", "chunk_id")
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Forms that passages and chunks share in several spellings, a row each."""
+    return forms.form_classes(_read(spark, d, "passages"), _read(spark, d, "chunks").withColumnRenamed("id", "chunk_id"), "passage_id", "chunk_id")
+
+
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     chunks = forms.with_forms(_read(spark, d, "chunks").withColumnRenamed("id", "key"), "key").withColumn("kind", F.lit("chunk"))
     passages = forms.with_forms(_read(spark, d, "passages").withColumnRenamed("passage_id", "key"), "key").withColumn("kind", F.lit("passage"))
-    rows = chunks.unionByName(passages).select("kind", "key", "form", (F.col("form_hash") != F.col("text_hash")).alias("changed"))
+    rows = chunks.unionByName(passages).select("kind", "key", "form", *forms.Confusables._fields, (F.col("form_hash") != F.col("text_hash")).alias("changed"))
     return rows.dropDuplicates(["kind", "key"])
 
 
@@ -100,8 +105,8 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_usage(spark: SparkSession, d: str) -> DataFrame:
     """Containers, parts, tokens, tokens that would have fitted besides, and containers not full."""
-    boxes = p8_containers(spark, d).where("container_id is not null").groupBy("container_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("parts"))
-    free = F.lit(2048) - F.col("tokens")
+    boxes = p8_containers(spark, d).where("container_id is not null").groupBy("container_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("parts"), F.max("capacity").alias("capacity"))
+    free = F.col("capacity") - F.col("tokens")
     return boxes.agg(F.count("*").alias("containers"), F.sum("parts").alias("parts"), F.sum("tokens").alias("tokens"), F.sum(free).alias("unused"), F.count_if(free > 0).alias("not_full"))
 
 

@@ -67,3 +67,34 @@ def test_equal_forms(spark):
 
 def test_very_long_text():
     assert len(consistent_form("ａ " * 300_000)) == 599_999
+
+
+@pytest.mark.parametrize("pair", ["ѵv", "ᏀG", "ԌG", "гr", "Ьb", "ƒf"])
+def test_rarer_look_alikes(pair):
+    other, latin = pair
+    assert forms.consistent_form(f"the se{other}en parties") == forms.consistent_form(f"the se{latin}en parties")
+
+
+def test_look_alikes_are_of_their_scripts():
+    for script, pairs in [*forms._LOOK_ALIKES.items(), *forms._ONE_WAY.items()]:
+        for pair in pairs.split(" "):
+            assert len(pair) == 2 and forms._script(pair[0]) == "Latin" and forms._script(pair[1]) == script
+
+
+def test_digits_and_letters_stay_apart():
+    assert forms.consistent_form("O1l0") == "O1l0"
+
+
+def test_confusables():
+    assert forms.confusables("The pаrty pаys сорe") == (3, 0, 0)
+    assert forms.confusables("the соре of this") == (0, 0, 1)  # wholly in Cyrillic letters, among Latin words
+    assert forms.confusables("xжz is kept") == (0, 1, 0)
+    assert forms.confusables(None) == forms.confusables("plain") == forms.confusables("привет сор") == (0, 0, 0)
+
+
+def test_form_classes(spark):
+    a = spark.createDataFrame([(1, "a  b"), (1, "a  b"), (2, "a b"), (3, "c"), (4, None), (None, "a b"), (5, "")], "p bigint, text string")
+    b = spark.createDataFrame([(7, "a b"), (8, "c"), (9, " "), (10, "d")], "c bigint, text string")
+    got = sorted((r.left_rows, r.right_rows, r.spellings) for r in forms.form_classes(a, b, "p", "c").collect())
+    assert got == [(1, 1, 2), (2, 1, 2)]
+    assert forms.form_classes(a.limit(0), b, "p", "c").count() == 0
