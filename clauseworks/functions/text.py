@@ -149,24 +149,38 @@ def _clusters(text: str) -> list[tuple[str, int, int]]:
 
 
 def normalize(text: str, join_hyphens: bool = False) -> Normalized:
-    """normalized() and, for PDF text, joined_hyphens(), with the source of every character."""
-    parts = _clusters(text)
-    flat = "".join(c for c, _, _ in parts)
-    chars: list[tuple[str, int, int]] = []
+    """normalized() and, for PDF text, joined_hyphens(), with the source of every character.
+
+    Words are copied as wholes with their ranges of places; only text that isn't
+    composed is looked at by character.
+    """
+    flat, first, last = text, range(len(text)), range(1, len(text) + 1)
+    if not unicodedata.is_normalized("NFC", text):
+        parts = _clusters(text)
+        flat, first, last = "".join(c for c, _, _ in parts), [s for _, s, _ in parts], [e for _, _, e in parts]
+    out: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
     at = 0
     for run in [*_RUN.finditer(flat), None]:
         start, end = run.span() if run else (len(flat), len(flat))
-        chars += parts[at:start]
-        at = end
+        word, at = flat[at:start], end
+        starts += first[start - len(word) : start]
+        ends += last[start - len(word) : start]
+        out.append(word)
         if run is None or start == 0 or end == len(flat):
             continue
-        breaks = len(_BREAK.findall(run[0]))
-        if join_hyphens and breaks == 1 and len(chars) > 1 and chars[-1][0] == "-" and chars[-2][0].isalpha() and flat[end].islower():
-            chars.pop()
+        breaks = len(_BREAK.findall(run[0])) if run[0] != " " else 0
+        if join_hyphens and breaks == 1 and word.endswith("-") and word[-2:-1].isalpha() and flat[end].islower():
+            out[-1] = word[:-1]
+            starts.pop()
+            ends.pop()
             continue
-        place = parts[start][1], parts[end - 1][2]
-        chars += [(c, *place) for c in ("\n" * min(breaks, 2) or " ")]
-    return Normalized("".join(c for c, _, _ in chars), [s for _, s, _ in chars], [e for _, _, e in chars])
+        white = "\n" * min(breaks, 2) or " "
+        out.append(white)
+        starts += [first[start]] * len(white)
+        ends += [last[end - 1]] * len(white)
+    return Normalized("".join(out), starts, ends)
 
 
 def page_of(pages: list[tuple[int, int]], offset: int) -> int | None:

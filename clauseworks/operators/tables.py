@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, page_at, snippet
+from ..session import checkpointed
 from .evaluation import valid_spans
 
 #: Categories that say what a contract is rather than what it contains.
@@ -107,7 +108,22 @@ def split_by_contract(rows: DataFrame, contract: str, share: float, seed: str =
     return rows.withColumn("part", F.when(place < share, "validation").otherwise("train"))
 
 
+def numbered_within(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """Rows of each key numbered from 0 in an order.
+
+    Keys are cut into sorted ranges, each numbered for itself and shifted by what
+    lies before it, so no task holds all rows of a common key.
+    """
+    ranges = checkpointed(rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("part", F.spark_partition_id()))
+    sizes = ranges.groupBy(by, "part").agg(F.count("*").alias("held"))
+    before = F.sum("held").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = sizes.select(F.col(by).alias("shift_key"), F.col("part").alias("shift_part"), F.coalesce(before, F.lit(0)).alias("shift"))  # a row for each key and range
+    within = F.row_number().over(Window.partitionBy("part", by).orderBy(*order)) - 1
+    joined = ranges.withColumn(name, within).join(F.broadcast(shifts), F.col(by).eqNullSafe(F.col("shift_key")) & (F.col("part") == F.col("shift_part")))
+    return joined.withColumn(name, (F.col(name) + F.col("shift")).cast("bigint")).drop("part", "shift_key", "shift_part", "shift")
+
+
 def category_batches(pairs: DataFrame, category: str, order: list[str], seed: str = SEED) -> DataFrame:
     """With batch, from 0: a batch holds at most one pair of each category, in an order shuffled by a hash."""
-    mixed = F.md5(F.concat_ws("|", *order, F.lit(seed)))
-    return pairs.withColumn("batch", F.row_number().over(Window.partitionBy(category).orderBy(mixed, *order)) - 1)
+    mixed = pairs.withColumn("mixed", F.md5(F.concat_ws("|", *order, F.lit(seed))))
+    return numbered_within(mixed, category, ["mixed", *order], "batch").drop("mixed")

@@ -24,6 +24,8 @@ from ..sources.files import read_files, walk
 TABLES = ("documents", "chunks", "vectors")
 META = "meta.json"
 Progress = Callable[[str, int], None]
+#: Tasks up to which the best k of each are merged on the driver; of more they are ranked in Spark first.
+MERGED_TASKS = 1000
 
 
 class IndexFault(Exception):
@@ -185,6 +187,7 @@ class Index:
     """An opened index."""
 
     def __init__(self, spark: SparkSession, index: str, embedder: Embedder | None = None, config: ChunkConfig = ChunkConfig()) -> None:
+        self.spark = spark
         self.embedder = embedder or HashEmbedder()
         self.meta = read_meta(index)
         check_settings(self.meta, settings_of(self.embedder, config))
@@ -206,12 +209,17 @@ class Index:
         vec = embed_query(self.embedder, text).tolist()
         encoded = time.perf_counter()
         dim = self.embedder.model.dim
-        hits = top(search(self.vectors, [("q", vec)], k, "id", "vec", dim), k)
-        files = self.documents.select(F.col("id").alias("doc_id"), "path")
-        rows = hits.join(self.chunks, "id").join(files, "doc_id").select("rank", "score", "id", "path", "page", "char_start", "char_end", "text").orderBy("rank").cache()
-        if rows.count() != hits.count():
+        found = search(self.vectors, [("q", vec)], k, "id", "vec", dim)
+        if self.vectors.rdd.getNumPartitions() > MERGED_TASKS:
+            found = top(found, k)
+        best = sorted({(-r.score, r.id) for r in found.select("score", "id").collect()})[:k]
+        chunks = {r.id: r for r in self.chunks.where(F.col("id").isin([i for _, i in best])).collect()}
+        paths = dict(self.documents.where(F.col("id").isin([r.doc_id for r in chunks.values()])).select("id", "path").collect())
+        if any(i not in chunks or chunks[i].doc_id not in paths for _, i in best):
             raise IndexFault("damaged: a hit has no chunk or document")
-        return rows, {"encode": encoded - began, "scan": time.perf_counter() - encoded}
+        rows = [(n, -score, i, paths[chunks[i].doc_id], *(chunks[i][c] for c in ("page", "char_start", "char_end", "text"))) for n, (score, i) in enumerate(best, 1)]
+        hits = self.spark.createDataFrame(rows, "rank int, score double, id bigint, path string, page int, char_start int, char_end int, text string")
+        return hits, {"encode": encoded - began, "scan": time.perf_counter() - encoded}
 
 
 def reusable(index: str, source: str, current: Settings) -> bool:
