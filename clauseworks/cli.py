@@ -10,7 +10,7 @@ from pathlib import Path
 
 from .functions.embedding import MODELS, HashEmbedder, LoadedEmbedder
 from .functions.text import wrap
-from .operators.chunking import ChunkConfig
+from .operators.chunking import ChunkConfig, word_tokens
 from .session import local_session
 
 
@@ -33,6 +33,7 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("spans")
     c.add_argument("out")
     c.add_argument("--timing", action="store_true")
+    c.add_argument("--source", help="folder of documents: indexed first, unless the index was built from it with these settings")
     c = sub.add_parser("serve")
     c.add_argument("--port", type=int, default=8400)
     return p
@@ -46,6 +47,18 @@ def embedder_of(name: str, folder: str) -> HashEmbedder | LoadedEmbedder:
     return LoadedEmbedder(MODELS[name], str(Path(folder, MODELS[name].directory)))
 
 
+def causes(error: BaseException) -> str:
+    """The messages of an error and of what caused it; one that a message before already holds is left out."""
+    said: list[str] = []
+    at: BaseException | None = error
+    while at is not None:
+        message = str(at) or type(at).__name__
+        if not any(message in x for x in said):
+            said.append(message)
+        at = at.__cause__
+    return ": ".join(said)
+
+
 def main(args: list[str] | None = None) -> int:
     from .plans import effectiveness, index
     from .sources.files import read_files, walk
@@ -63,7 +76,7 @@ def main(args: list[str] | None = None) -> int:
         spark = local_session()
         if a.command == "index" and a.dry_run:
             listing = walk(a.folder)
-            for r in index.passages(read_files(spark, listing.found), config).orderBy("position", "ord").toLocalIterator():
+            for r in index.passages(read_files(spark, listing.found), config, getattr(embedder, "tokens", word_tokens)).orderBy("position", "ord").toLocalIterator():
                 page = "" if r.page is None else f" page {r.page}"
                 print(f"{listing.found[r.position].path} {r.ord} [{r.char_start}, {r.char_end}){page}: {' '.join(r.text.split())[:100]}")
         elif a.command == "index":
@@ -82,6 +95,8 @@ def main(args: list[str] | None = None) -> int:
             print(f"encode {seconds['encode'] * 1000:.1f} ms, scan {seconds['scan'] * 1000:.1f} ms")
         elif a.command == "eval":
             Path(a.out).mkdir(parents=True, exist_ok=True)
+            if a.source and not index.reusable(a.index_dir, a.source, index.settings_of(embedder, config)):
+                index.build(spark, a.source, a.index_dir, embedder, config)
             print(effectiveness.run_all(spark, index.Index(spark, a.index_dir, embedder, config), a.queries, a.spans, a.out, a.timing))
         else:
             from .serve import Service, serve
@@ -90,7 +105,7 @@ def main(args: list[str] | None = None) -> int:
             print(f"http://127.0.0.1:{a.port} token {token}")
             server.serve_forever()
     except (index.IndexFault, ValueError, OSError) as e:
-        print(e, file=sys.stderr)
+        print(causes(e), file=sys.stderr)
         return 1
     return 0
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import hmac
 import json
+import os
 import secrets
+import subprocess
+import sys
 import threading
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
@@ -45,6 +49,7 @@ class Service:
         self.lock, self.job = threading.Lock(), Job()
         self.index: plan.Index | None = None
         self.reason = ""
+        self.opener: Callable[[str], None] = open_file
         self._open()
 
     def _open(self) -> None:
@@ -68,6 +73,20 @@ class Service:
             hits = [{"rank": r["rank"], "score": r.score, "chunk": r.id, "file": Path(r.path).name, "folder": str(Path(r.path).parent), "page": r.page, "char_start": r.char_start, "char_end": r.char_end, "text": r.text} for r in rows.collect()]
         return {"hits": hits, "encode_ms": seconds["encode"] * 1000, "scan_ms": seconds["scan"] * 1000}
 
+    def open(self, chunk: int) -> dict[str, Any]:
+        """Opens the file of a chunk on this machine; files are named by a chunk's id only, never by a path."""
+        with self.lock:
+            if self.index is None:
+                raise Refused(409, self.reason or "no index")
+            found = self.index.chunk(chunk)
+            path = self.index.document(found.doc_id).path if found else None
+        if path is None:
+            raise Refused(404, "no such chunk")
+        if not Path(path).is_file():
+            raise Refused(410, "the file is gone")
+        self.opener(path)
+        return {"opened": Path(path).name}
+
     def start(self, folder: str | None = None) -> dict[str, Any]:
         """Indexes a folder, or again the one that the index records."""
         with self.lock:
@@ -100,6 +119,14 @@ class Service:
         return {"state": j.state, "stage": j.stage, "total": j.total, "seconds": time.time() - j.began if j.began else 0.0, "message": j.message, "skipped": [{"path": p, "reason": r} for p, r in j.skipped]}
 
 
+def open_file(path: str) -> None:
+    """Hands a file to the program that the system uses for it."""
+    if hasattr(os, "startfile"):
+        os.startfile(path)
+    else:
+        subprocess.Popen(["open" if sys.platform == "darwin" else "xdg-open", path], stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
+
+
 def allowed(headers: Any, token: str, port: int) -> bool:
     """Whether a request names this host and carries the token."""
     host = headers.get("Host", "")
@@ -130,14 +157,14 @@ def serve(service: Service, port: int) -> tuple[ThreadingHTTPServer, str]:
                 self._answer(200, routes[self.path](body))
             except Refused as e:
                 self._answer(e.status, {"error": str(e)})
-            except (ValueError, TypeError, AttributeError) as e:
+            except (ValueError, TypeError, AttributeError, KeyError) as e:
                 self._answer(400, {"error": str(e)})
 
         def do_GET(self) -> None:  # noqa: N802
             self._handle({"/api/status": lambda _: service.status(), "/api/index/status": lambda _: service.job_status()})
 
         def do_POST(self) -> None:  # noqa: N802
-            self._handle({"/api/search": lambda b: service.search(str(b.get("query", "")), int(b.get("k", 10))), "/api/index": lambda b: service.start(b.get("folder"))})
+            self._handle({"/api/search": lambda b: service.search(str(b.get("query", "")), int(b.get("k", 10))), "/api/index": lambda b: service.start(b.get("folder")), "/api/open": lambda b: service.open(int(b["chunk"]))})
 
         def log_message(self, *args: Any) -> None:
             pass

@@ -123,7 +123,11 @@ def test_service(spark, documents, tmp_path):
         return json.load(urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{port}{path}", data, {"Authorization": f"Bearer {key}"})))
 
     assert ask("/api/search", {"query": "royalties", "k": 500})["hits"][0]["file"] == "b.txt"
-    for path, body, key, status in (("/api/status", None, "wrong", 403), ("/api/search", {"query": ""}, token, 400), ("/nothing", None, token, 404)):
+    opened = []
+    service.opener = opened.append
+    chunk = ask("/api/search", {"query": "royalties"})["hits"][0]["chunk"]
+    assert ask("/api/open", {"chunk": chunk}) == {"opened": "b.txt"} and [p.rsplit("/", 1)[-1] for p in opened] == ["b.txt"]
+    for path, body, key, status in (("/api/open", {"chunk": 10**6}, token, 404), ("/api/open", {"path": "b.txt"}, token, 400), ("/api/status", None, "wrong", 403), ("/api/search", {"query": ""}, token, 400), ("/nothing", None, token, 404)):
         with pytest.raises(urllib.error.HTTPError) as e:
             ask(path, body, key)
         assert e.value.code == status
@@ -192,3 +196,17 @@ def test_erf_and_gelu():
     x = np.linspace(-6, 6, 2001)
     assert np.abs(erf(x) - [exact(v) for v in x]).max() < 2e-7
     assert gelu(np.zeros(3, np.float32)).dtype == np.float32
+
+
+def test_causes_are_not_repeated():
+    try:
+        try:
+            raise OSError("disk full")
+        except OSError as e:
+            raise IndexFault("can't write: disk full") from e
+    except IndexFault as e:
+        assert cli.causes(e) == "can't write: disk full"
+    try:
+        raise ValueError("bad") from KeyError("x")
+    except ValueError as e:
+        assert cli.causes(e) == "bad: 'x'"
