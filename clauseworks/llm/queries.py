@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import spread
 from . import forms, leaks, neardup, neighbours, overlap, packing, residue, splitting, tokens
 
 
+#: White space, as in splitting.
+_NOT_WHITE = f"[^{splitting.WHITE}]+"
+
+
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     table = spark.read.parquet(f"{d}/{name}.parquet")
     return spread(table) if name in ("documents", "chunks", "vectors") else table
@@ -56,6 +60,20 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(*(_read(spark, d, t) for t in ("chunks", "documents", "chunk_config")))
 
 
+def p3_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Of every oversized chunk: where its pieces begin and end in the document, and how many aren't what stands there or leave out words."""
+    pieces = p3_pieces(spark, d)
+    chunks = _read(spark, d, "chunks").where("id is not null").groupBy(F.col("id").alias("chunk_id")).agg(F.min("doc_id").alias("doc_id"))
+    texts = _read(spark, d, "documents").where("doc_id is not null").groupBy("doc_id").agg(F.first("text").alias("whole"))
+    placed = pieces.join(chunks, "chunk_id").join(texts, "doc_id")
+    by_piece = Window.partitionBy("chunk_id").orderBy("piece")
+    gap = F.expr("substring(whole, before + 1, char_start - before)")  # between the piece before and this one, empty where they overlap
+    lost = F.coalesce((F.col("before") < F.col("char_start")) & gap.rlike(_NOT_WHITE), F.lit(False))
+    other = F.col("text") != F.expr("substring(whole, char_start + 1, char_end - char_start)")
+    rows = placed.withColumn("before", F.lag("char_end").over(by_piece)).select("chunk_id", "char_start", "char_end", other.alias("other"), lost.alias("lost"))
+    return rows.groupBy("chunk_id").agg(F.min("char_start").alias("first_start"), F.max("char_end").alias("last_end"), F.count_if(F.col("other") | F.col("lost")).alias("wrong"))
+
+
 _P5 = ("documents", "chunks", "docs", "spans")
 
 
@@ -124,10 +142,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1:2].isdigit()}
 
 
-#: White space, as in splitting.
-_NOT_WHITE = f"[^{splitting.WHITE}]+"
-
-
 def oracle_sql() -> dict[str, str]:
     """What SQL can say; the other operators are held against brute force in the tests."""
     usable = "len(vec) = 64 AND list_sum(list_transform(vec, lambda x: CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN 1 ELSE 0 END)) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0"
@@ -135,6 +149,10 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"""WITH c AS (SELECT id, first(doc_id) AS doc_id, max(source) AS source, len(regexp_extract_all(first(text), '{_NOT_WHITE}')) AS words FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY 1),
 d AS (SELECT doc_id, max(source) AS of_document FROM documents GROUP BY 1), l AS (SELECT source, min(max_tokens) AS most FROM chunk_config GROUP BY 1)
 SELECT id AS chunk_id FROM c LEFT JOIN d USING (doc_id) JOIN l ON l.source = coalesce(of_document, c.source) WHERE words > most""",
+        "p3_ends": f"""WITH c AS (SELECT id, first(doc_id) AS doc_id, max(source) AS source, first(text) AS text, min(char_start) AS char_start, len(regexp_extract_all(first(text), '{_NOT_WHITE}')) AS words FROM chunks WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY 1),
+d AS (SELECT doc_id, max(source) AS of_document FROM documents GROUP BY 1), l AS (SELECT source, min(max_tokens) AS most FROM chunk_config GROUP BY 1)
+SELECT id AS chunk_id, (char_start + length(text) - length(regexp_replace(text, '^[{splitting.WHITE}]+', '')))::INT AS first_start, (char_start + length(regexp_replace(text, '[{splitting.WHITE}]+$', '')))::INT AS last_end, 0::BIGINT AS wrong
+FROM c LEFT JOIN d USING (doc_id) JOIN l ON l.source = coalesce(of_document, c.source) WHERE words > most""",
         "p6_found": f"""WITH v AS (SELECT chunk_id AS id, CAST(first(vec) AS DOUBLE[]) AS vec FROM vectors WHERE {usable} GROUP BY 1),
 pairs AS (SELECT a.id, b.id AS near, list_cosine_similarity(a.vec, b.vec) AS score FROM v a JOIN v b ON a.id <> b.id),
 placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, near) AS place FROM pairs WHERE score >= 0.9)
