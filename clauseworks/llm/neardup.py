@@ -192,10 +192,12 @@ def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return tuple(map(np.concatenate, (keys, places, [r + f for r, f in zip(rows, first[:-1], strict=True)], classes, sizes, signs)))
 
 
-def _entries(texts: DataFrame, sketch: np.ndarray, threshold: float, n: int, buckets: int) -> DataFrame:
+def _entries(texts: DataFrame, sketch: np.ndarray, threshold: float, n: int, buckets: int, own: bool = False) -> DataFrame:
     """bucket and entries of the index, packed: key (position and byte), place in the text's order, and the text.
 
-    A task writes a class once, however many copies it reads.
+    A task writes a class once, however many copies it reads.  With own, the id is
+    the class and the sketch is that of the other side: what it doesn't hold comes
+    first in the order and has no entry, nor has a text too much of which isn't there.
     """
     counts = texts.sparkSession.sparkContext.broadcast(sketch)
 
@@ -205,7 +207,7 @@ def _entries(texts: DataFrame, sketch: np.ndarray, threshold: float, n: int, buc
         bucket = (keys * _MULTIPLIERS[1] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         found, at = np.unique(bucket[order], return_index=True)
-        pieces = [np.split(c[order], at[1:]) for c in (keys, places, rows)]
+        pieces = [np.split(c[order], at[1:]) if len(at) else [] for c in (keys, places, rows)]
         return pa.RecordBatch.from_arrays([pa.array(found), pa.array([_pack(*x, *texts) for x in zip(*pieces, strict=True)], pa.binary())], names=["bucket", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,21 +216,35 @@ def _entries(texts: DataFrame, sketch: np.ndarray, threshold: float, n: int, buc
         held: list[tuple[np.ndarray, ...]] = []
         first = 0
         for b in _cut(batches):
+            if own:  # copies are told by their ids, before their words are read
+                ids = b.column(0).to_pylist()
+                fresh = [k for k, c in enumerate(ids) if c not in known and not known.add(c)]
+                b = b.take(pa.array(fresh, pa.int64()))
+                if not fresh:
+                    continue
             texts = b.column(1).to_pylist()
             hashes, ends = shingle_sets(texts, n)
             sizes = np.diff(ends)
-            classes = np.array([set_hash(hashes[x:y], t) for x, y, t in zip(ends[:-1], ends[1:], texts, strict=True)], np.int64)
+            if own:
+                classes = np.array(b.column(0).to_pylist(), np.int64)
+            else:
+                classes = np.array([set_hash(hashes[x:y], t) for x, y, t in zip(ends[:-1], ends[1:], texts, strict=True)], np.int64)
             take = np.array([prefix(int(k), threshold) for k in sizes], np.int64)
-            for k, c in enumerate(classes.tolist()):
+            for k, c in enumerate(() if own else classes.tolist()):
                 if c in known:
                     take[k] = 0
                 known.add(c)
             text = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
-            often = counts.value[(hashes % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
+            often = counts.value[(hashes % np.uint64(len(counts.value))).astype(np.int64)].astype(np.uint64)
             # rare first within a text, ties in a mixed order that is alike for all texts
             order = np.argsort(text << np.uint64(52) | often << np.uint64(32) | hashes * _MULTIPLIERS[0] >> np.uint64(32))
             places = np.arange(len(hashes)) - np.repeat(ends[:-1], sizes)
+            if own:
+                there = np.concatenate([[0], np.cumsum(often > 0)])[ends]
+                take[np.diff(there) < np.ceil(threshold * sizes - 1e-9)] = 0
             keep = places < np.repeat(take, sizes)
+            if own:
+                keep &= often[order] > 0
             parts.append((hashes[order][keep], places[keep], text[keep].astype(np.int64) + first))
             held.append((classes, sizes, signatures(hashes, ends)))
             first += len(texts)
@@ -241,9 +257,9 @@ def _entries(texts: DataFrame, sketch: np.ndarray, threshold: float, n: int, buc
     return texts.select("id", "text").mapInArrow(run, "bucket bigint, entries binary")
 
 
-def _pairs(threshold: float, entries: tuple[np.ndarray, ...], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Entries of one key each, left and right, of different classes, that by place, size and signature can reach the threshold, as rows (class, class, asked)."""
-    _, places, rows, classes, sizes, signs = entries
+def near_rows(threshold: float, entries: tuple[np.ndarray, ...], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts (rows) of entries of one key each, left and right, that by place, size and signature can reach the threshold, and the minimum asked of them."""
+    _, places, rows, _, sizes, signs = entries
     a, b = sizes[rows[left]], sizes[rows[right]]
     needed = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
     within = np.minimum(places[left], places[right]) + np.minimum(a - places[left], b - places[right])
@@ -254,9 +270,16 @@ def _pairs(threshold: float, entries: tuple[np.ndarray, ...], left: np.ndarray,
     keep = np.flatnonzero(early & (within >= needed) & (small >= needed))
     x, y = rows[left[keep]], rows[right[keep]]
     differ = np.bitwise_count(signs[x] ^ signs[y]).sum(axis=1, dtype=np.int64)
-    near = (differ <= (a + b - 2 * needed)[keep]) & (classes[x] != classes[y])
-    x, y = classes[x[near]], classes[y[near]]
-    return np.stack([np.minimum(x, y), np.maximum(x, y), asked[keep][near]], axis=1)
+    near = differ <= (a + b - 2 * needed)[keep]
+    return x[near], y[near], asked[keep][near]
+
+
+def _pairs(threshold: float, entries: tuple[np.ndarray, ...], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Those of different classes as rows (class, class, asked)."""
+    x, y, asked = near_rows(threshold, entries, left, right)
+    x, y = entries[3][x], entries[3][y]
+    rows = np.stack([np.minimum(x, y), np.maximum(x, y), asked], axis=1)
+    return rows[x != y]
 
 
 def _tallied(pairs: list[np.ndarray]) -> pa.RecordBatch:
@@ -410,6 +433,11 @@ def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
     grid = grid.select("key", "entries", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     more = grid.groupBy("key", "i", "j").applyInArrow(lambda t: _paired_blocks(t, threshold), _TALLY_TYPE)
     rows = first.where("entries is null").unionByName(more).select("class_a", "class_b", "shared", "asked")
+    return tallied(rows)
+
+
+def tallied(rows: DataFrame) -> DataFrame:
+    """class_a and class_b that share what is asked of them, over all buckets."""
     tally = rows.groupBy("class_a", "class_b").agg(F.sum("shared").alias("shared"), F.first("asked").alias("asked"))
     return tally.where("shared >= asked").select("class_a", "class_b")
 

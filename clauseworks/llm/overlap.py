@@ -6,8 +6,14 @@ grouped by word, and its suffix array.  One backward step for word w maps a row
 to the number of entries below (w, i) in that grouping, so a step for many
 positions at once is one binary search over the shard's rows.
 
-Training chunks are streamed past the shards.  Of each, all trigrams are looked
-up; if a chunk is similar to an evaluation chunk at Jaccard t, at most n - t * n
+Only shards that can hold something similar to a training chunk are asked for it,
+so the work follows the text and not training text times shards.  Rare positional
+bytes of both sides, as for near-duplicates, meet in buckets; a filter that counts
+the trigrams of all evaluation text keeps most of the training side's at home.
+What is chosen is a superset, the index decides.
+
+Of each training chunk that is sent to a shard, all trigrams are looked up there;
+if a chunk is similar to an evaluation chunk at Jaccard t, at most n - t * n
 of its n trigrams are missing there, so those that occur least often in the
 shard contain enough shared ones, and only these are located.  Pairs that reach
 the minimum are compared on their whole sets.  Of the pairs found, the maximal
@@ -19,24 +25,23 @@ they overlap in the training text, and counted.
 from __future__ import annotations
 
 import math
-import pickle
-import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, StorageLevel
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from .evaluation import evaluation_files, file_name, sized
 from .forms import form_words
-from .neardup import HASHES, THRESHOLD, WORDS, least_shared, set_hash, shingle_hashes, word_hashes
+from .neardup import _AT_ONCE, _TALLY_TYPE, BATCH, HASHES, THRESHOLD, WORDS, _entries, _joined, _tallied, _unpack, least_shared, near_rows, set_hash, shingle_hashes, shingle_sets, tallied, word_hashes
 
-#: Characters of evaluation text in a shard, and in the shards that are broadcast at a time (about 5 bytes of index a character).
+#: Characters of evaluation text in a shard, and those beyond which the filter of trigrams grows no more (it has one or two counters a character).
 SHARD_CHARS, ROUND_CHARS = 8_000_000, 48_000_000
+#: Counters of the filter added up at a time, and training texts that an index is sent in one task.
+FILTER_PART, PART = 1 << 20, 50_000
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -77,7 +82,7 @@ class Shard:
         self.counts = np.bincount(last, minlength=len(self.words) + 2)
 
     def ready(self) -> Shard:
-        """With what is left out when the index is sent."""
+        """With the keys of backward search and the sets of the texts."""
         self.keys = np.repeat(np.arange(len(self.counts), dtype=np.int64), self.counts) * (self.size + 1) + self.rows
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         hashes = np.zeros(len(self.counts), np.uint64)
@@ -186,45 +191,120 @@ def matches(shard: Shard, texts: list[str], threshold: float = THRESHOLD, n: int
 def _with_class(chunks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            classes = [set_hash(np.unique(shingle_hashes(word_hashes(t))), t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes, pa.int64()), b.column(1)], names=["doc_id", "class", "text"])
+            sets = [np.unique(shingle_hashes(word_hashes(t))) for t in b.column(1).to_pylist()]
+            classes = [set_hash(x, t) for x, t in zip(sets, b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes, pa.int64()), b.column(1), pa.array(list(map(len, sets)), pa.int32())], names=["doc_id", "class", "text", "size"])
 
-    return chunks.select("doc_id", "text").mapInArrow(run, "doc_id bigint, class bigint, text string")
+    return chunks.select("doc_id", "text").mapInArrow(run, "doc_id bigint, class bigint, text string, size int")
 
 
-def _shards(texts: DataFrame, chars: int) -> DataFrame:
-    """shard, chars and index (bytes) of the texts, cut by class into shards of about chars characters."""
-    total = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    number = max(1, -(-total // chars))
+def _filter(texts: DataFrame, counters: int) -> np.ndarray:
+    """How many of the texts, up to 255, hold a trigram of each counter."""
+    width = min(counters, FILTER_PART)
 
-    def build(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("class").to_pylist(), t.column("text").to_pylist(), strict=True))
-        index = zlib.compress(pickle.dumps(Shard([c for c, _ in rows], [x for _, x in rows])), 1)
-        return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int64()), "chars": pa.array([sum(len(x) for _, x in rows)], pa.int64()), "index": pa.array([index], pa.binary())})
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, len(b), BATCH):
+                places = np.sort((shingle_sets(b.column(0).slice(k, BATCH).to_pylist())[0] % np.uint64(counters)).astype(np.int64))
+                parts, at = np.unique(places // width, return_index=True)
+                rows = [(p % width).astype("<u4").tobytes() for p in np.split(places, at[1:])] if len(parts) else []
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(rows, pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(width, np.uint32)
+        for b in batches:
+            for part, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if part != at and at is not None:
+                    yield summed(at, total)
+                    total[:] = 0
+                at = part
+                np.add.at(total, np.frombuffer(places, "<u4"), np.uint32(1))
+        if at is not None:
+            yield summed(at, total)
 
-    return texts.withColumn("shard", F.pmod("class", F.lit(number)).cast("bigint")).groupBy("shard").applyInArrow(build, "shard bigint, chars bigint, index binary")
+    def summed(part: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], names=["part", "counts"])
 
+    kind = "part bigint, counts binary"
+    out = np.zeros(counters, np.uint8)
+    for r in texts.select("text").mapInArrow(held, kind).repartition("part").sortWithinPartitions("part").mapInArrow(add, kind).collect():
+        out[r.part * width : (r.part + 1) * width] = np.frombuffer(r.counts, np.uint8)
+    return out
 
-_READY: dict[str, list[Shard]] = {}
 
+def _between(entries: DataFrame, threshold: float) -> DataFrame:
+    """key (training text) and class (evaluation text) that share the guaranteed minimum, by size, place and signature able to reach the threshold.
 
-def _stream(training: DataFrame, sent: Broadcast, threshold: float, batch: int = 2000) -> DataFrame:
-    key = uuid.uuid4().hex
+    Of a bucket only the evaluation's entries are held; those of training pass by.
+    """
+
+    def paired(held: tuple[np.ndarray, ...], new: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        first = len(held[0])
+        both = _joined([held, new])
+        low, high = np.searchsorted(held[0], new[0]), np.searchsorted(held[0], new[0], side="right")
+        some = np.flatnonzero(high > low)
+        low, count = low[some], (high - low)[some]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        for start in range(0, total, _AT_ONCE):
+            k = np.arange(start, min(start + _AT_ONCE, total))
+            of = np.searchsorted(ends, k, side="right")
+            x, y, asked = near_rows(threshold, both, low[of] + k - (ends - count)[of], first + some[of])
+            yield _tallied([np.stack([both[3][y], both[3][x], asked], axis=1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (shards := _READY.get(key)) is None:
-            _READY.clear()
-            shards = _READY[key] = [pickle.loads(zlib.decompress(x)).ready() for x in sent.value]
-        for whole in batches:
-            for start in range(0, len(whole), batch):
-                b = whole.slice(start, batch)
-                docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                rows = [(docs[k], int(s.classes[c]), *more) for s in shards for k, c, *more in matches(s, texts, threshold)]
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "class", "similarity", "matches", "words", "longest"])
+        at, parts, held = None, [], None
+        for b in batches:
+            for bucket, training, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if bucket != at:
+                    at, parts, held = bucket, [], None
+                if not training:
+                    parts.append(_unpack(blob.as_py()))
+                elif parts or held:
+                    if held is None:
+                        keys, places, rows, *texts = _joined(parts)
+                        order = np.argsort(keys, kind="stable")
+                        held, parts = (keys[order], places[order], rows[order], *texts), []
+                    yield from paired(held, _unpack(blob.as_py()))
+
+    pairs = entries.repartition("bucket").sortWithinPartitions("bucket", "training").mapInArrow(run, _TALLY_TYPE)
+    return tallied(pairs).select(F.col("class_a").alias("key"), F.col("class_b").alias("class"))
+
+
+def _located(rows: DataFrame, threshold: float, batch: int = 2000) -> DataFrame:
+    """What the index of each shard and part finds of the training texts that follow the evaluation's."""
+    names = ["doc_id", "class", "similarity", "matches", "words", "longest"]
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
 
-    return training.select("doc_id", "text").mapInArrow(run, "doc_id bigint, class bigint, similarity double, matches int, words int, longest int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, texts, index, waiting = None, [], None, []
+
+        def found() -> pa.RecordBatch:
+            rows = [(waiting[k][0], int(index.classes[c]), *more) for k, c, *more in matches(index, [t for _, t in waiting], threshold)]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        for b in batches:
+            for shard, part, training, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (shard, part) != at:
+                    if waiting:
+                        yield found()
+                    at, texts, index = (shard, part), [], None
+                if not training:
+                    texts.append((key, text))
+                    continue
+                if index is None:
+                    texts.sort()
+                    index, texts = Shard([c for c, _ in texts], [t for _, t in texts]).ready(), []
+                waiting.append((key, text))
+                if len(waiting) == batch:
+                    yield found()
+        if waiting:
+            yield found()
+
+    rows = rows.select("shard", "part", "training", "key", "text").repartition("shard", "part").sortWithinPartitions("shard", "part", "training")
+    return rows.mapInArrow(run, "doc_id bigint, class bigint, similarity double, matches int, words int, longest int")
 
 
 MOST = ("similarity", "matches", "words", "longest")
@@ -238,36 +318,37 @@ def evaluation_ids(documents: DataFrame, docs: DataFrame, spans: DataFrame) -> D
 
 
 def class_overlaps(chunks: DataFrame, documents: DataFrame, docs: DataFrame, spans: DataFrame, threshold: float = THRESHOLD, shard_chars: int = SHARD_CHARS, round_chars: int = ROUND_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Two tables: training (document), class and the most of each measure; doc_id, class, text of the evaluation chunks.
+    """Two tables: training (document), class and the most of each measure; doc_id, class, text, size of the evaluation chunks.
 
     Null ids and texts have none, repeated rows count once, a chunk of an unknown
-    document belongs to neither side.  The training side is read once for every
-    round_chars characters of distinct evaluation text; the index of a round is
-    what is broadcast.
+    document belongs to neither side.  The training side is read twice, however
+    much evaluation text there is; what is broadcast is the filter, at most two
+    counters for each of round_chars characters.
     """
     ids = checkpointed(evaluation_ids(documents, docs, spans).select("doc_id"))
     chunks = chunks.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     held = _with_class(chunks.join(sized(ids), "doc_id", "left_semi")).persist(StorageLevel.DISK_ONLY)
-    training = chunks.join(sized(ids), "doc_id", "left_anti")
-    shards = checkpointed(_shards(held.groupBy("class").agg(F.min("text").alias("text")), shard_chars))
-    rounds: list[list[int]] = []
-    filled = 0
-    for r in sorted(shards.select("shard", "chars").collect()):
-        if not rounds or filled + r.chars > round_chars:
-            rounds.append([])
-            filled = 0
-        rounds[-1].append(r.shard)
-        filled += r.chars
-    out = None
-    for numbers in rounds:
-        sent = chunks.sparkSession.sparkContext.broadcast([bytes(r["index"]) for r in shards.where(F.col("shard").isin(numbers)).select("index").collect()])
-        part = _stream(training, sent, threshold)
-        if len(rounds) > 1:  # one round after the other: what it finds is written and its index let go before the next is sent
-            part = checkpointed(part)
-            sent.destroy()
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    # a text's own number, for which no word of it is read
+    training = chunks.join(sized(ids), "doc_id", "left_anti").withColumn("key", F.xxhash64("text"))
+    evaluation = checkpointed(held.groupBy("class").agg(F.min("text").alias("text"), F.min("size").alias("size")))
+    total = evaluation.agg(F.sum(F.length("text"))).first()[0]
+    if total is None:
         return chunks.sparkSession.createDataFrame([], "training bigint, class bigint, similarity double, matches int, words int, longest int"), held
+    counts = _filter(evaluation, 1 << max(10, min(total, round_chars).bit_length()))
+    number, buckets = max(1, -(-total // shard_chars)), max(1, 4 * total // shard_chars)
+    sides = [(evaluation.select(F.col("class").alias("id"), "text"), False), (training.select(F.col("key").alias("id"), "text"), True)]
+    entries = [_entries(t, counts, threshold, WORDS, buckets, own=True).withColumn("training", F.lit(x)).select("bucket", "training", "entries") for t, x in sides]
+    near = _between(entries[0].unionByName(entries[1]), threshold)
+    # texts without a trigram are equal as stored or not at all
+    equal = evaluation.where("size = 0").select(F.xxhash64("text").alias("key"), "class")
+    shard = F.pmod("class", F.lit(number)).cast("bigint").alias("shard")
+    routes = checkpointed(near.unionByName(equal).select("key", shard).distinct())
+    # the texts of a shard that very much is sent to are indexed in several tasks
+    most = routes.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    parts = -(-most // PART) or 1
+    indexed = evaluation.select(shard, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(False).alias("training"), F.col("class").alias("key"), "text")
+    sent = training.join(sized(routes), "key").select("shard", F.pmod(F.hash("doc_id"), F.lit(parts)).alias("part"), F.lit(True).alias("training"), F.col("doc_id").alias("key"), "text")
+    out = _located(indexed.unionByName(sent), threshold)
     most = [F.max(c).alias(c) for c in MOST]
     known = documents.select(F.col("doc_id").alias("training")).distinct()
     return out.join(known, out.doc_id == known.training, "left_semi").groupBy(F.col("doc_id").alias("training"), "class").agg(*most), held

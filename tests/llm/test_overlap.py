@@ -87,6 +87,49 @@ def test_equals_pairs_of_near_duplicates(spark, tables, chars):
     assert sum(r.pairs for r in counts) == len(want | both) and {r.split for r in counts} <= {"test", ""}
 
 
+def test_work_follows_text_and_not_text_times_shards(spark, tables, monkeypatch):
+    chunks, documents = tables
+    c = spark.createDataFrame(chunks, "id bigint, doc_id bigint, text string").repartition(4)
+    d = spark.createDataFrame(documents, "doc_id bigint, path string, hash binary")
+    docs = spark.createDataFrame([(f"{k}.txt", "test") for k in range(11)], "file string, split string")
+    spans = spark.createDataFrame([], "span_id string, category string, file string, char_start int, char_end int")
+    want = sorted(overlap.chunk_overlaps(c, d, docs, spans).collect())
+    asked, read, plain = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), overlap.matches
+
+    def counted(shard, texts, *more):
+        asked.add(len(texts))
+        return plain(shard, texts, *more)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    monkeypatch.setattr(overlap, "matches", counted)
+    c = c.mapInArrow(seen, c.schema)
+    got, reads = [], []
+    for chars in (10**7, 10**8), (700, 1500):
+        before = read.value
+        got.append(sorted(overlap.chunk_overlaps(c, d, docs, spans, shard_chars=chars[0], round_chars=chars[1]).collect()))
+        reads.append(read.value - before)
+    assert got == [want, want] and len(want) > 3
+    assert reads[0] == reads[1]
+    assert asked.value < sum(x is not None and 10 < x < 40 for _, x, _ in chunks)
+
+
+def test_more_texts_for_a_shard_than_a_task_takes(spark, tables, monkeypatch):
+    chunks, documents = tables
+    c = spark.createDataFrame(chunks + [(500 + k, 20 + k, t) for k, (_, _, t) in enumerate(chunks[:18])], "id bigint, doc_id bigint, text string").repartition(4)
+    d = spark.createDataFrame(documents, "doc_id bigint, path string, hash binary")
+    docs = spark.createDataFrame([(f"{k}.txt", "test") for k in range(11)], "file string, split string")
+    spans = spark.createDataFrame([], "span_id string, category string, file string, char_start int, char_end int")
+    want = sorted(overlap.chunk_overlaps(c, d, docs, spans).collect())
+    monkeypatch.setattr(overlap, "PART", 2)
+    monkeypatch.setattr(overlap, "_AT_ONCE", 7)
+    monkeypatch.setattr(overlap, "FILTER_PART", 256)
+    assert sorted(overlap.chunk_overlaps(c, d, docs, spans, shard_chars=2000).collect()) == want and len(want) > 18
+
+
 def test_empty_tables(spark):
     c = spark.createDataFrame([], "id bigint, doc_id bigint, text string")
     d = spark.createDataFrame([], "doc_id bigint, path string, hash binary")
